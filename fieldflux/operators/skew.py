@@ -1,0 +1,25 @@
+"""Finding groups too large for one task."""
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 5_000_000
+SKETCH_ITEMS = 4096
+MAX_HOT = 256
+
+
+def key_hash(keys: list[str]) -> Column:
+    return F.xxhash64(*[F.col(k) for k in keys])
+
+
+def hot_key_hashes(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> list[int]:
+    """Hashes of groups with about hot_rows or more rows.
+
+    One frequent-items sketch over the key columns: mergeable, of fixed size, no shuffle of
+    the rows.  The answer is at most MAX_HOT numbers.  It only chooses between two exact
+    ways of computing a group, so an estimate is enough."""
+    top = df.select(key_hash(keys).alias("h")).agg(
+        F.call_function("approx_top_k", F.col("h"), F.lit(MAX_HOT), F.lit(SKETCH_ITEMS)).alias("top")
+    )
+    found = top.first()["top"] or []
+    return [r["item"] for r in found if r["item"] is not None and r["count"] >= hot_rows]
