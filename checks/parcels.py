@@ -237,8 +237,10 @@ def geo_edges(spark, d):
 
 
 def boxes(spark, d):
-    edges = geo_edges(spark, d)
-    return grid.zone_bounds(edges, grid.parcel_zones(edges, ["parcel_uid"]), ["parcel_uid"])
+    zones = grid.parcel_zones(geo_edges(spark, d), ["parcel_uid"]).select("parcel_uid", "epsg")
+    ids = ["parcel_uid", "epsg"]
+    parts = geometry.explode_parts(T.geo_parcels(spark, d).join(zones, "parcel_uid"), ids)
+    return grid.zone_bounds(geometry.explode_edges(parts, ids))
 
 
 def candidates(spark, d):

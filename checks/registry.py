@@ -5,6 +5,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldflux.session import tune
+
 QUERIES = {}
 SQL = {}
 CTES = {}
@@ -14,7 +16,11 @@ def check(name: str, sql: str | None = None):
     """Register a Spark query, with its SQL where one exists."""
 
     def add(fn):
-        QUERIES[name] = fn
+        def query(spark, sf_dir):
+            tune(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = query
         if sql is not None:
             SQL[name] = doubles(with_ctes(sql))
         return fn

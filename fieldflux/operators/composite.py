@@ -30,6 +30,14 @@ def median_composite(
     return usual.unionByName(medians(rows.where(key_hash(PIXEL).isin(hot)), keys, bands))
 
 
+def cluster_by_scene(pixels: DataFrame, scene: list[str], rows: int = 64) -> DataFrame:
+    """Bring the pixels of a scene together, in strips of raster rows.
+
+    A strip is at most `rows` raster lines, so no task grows with the data, and a task sees
+    few scenes, so per-scene sketches and counts combine well before they are shuffled."""
+    return pixels.repartition(*scene, F.floor(F.col("y") / rows))
+
+
 def dem_mosaic(dem_items: DataFrame, nodata: float | None = None) -> DataFrame:
     """Highest elevation where elevation items overlap; the declared nodata value is missing."""
     dem = F.nullif(F.col("dem"), F.lit(float(nodata))) if nodata is not None else F.col("dem")

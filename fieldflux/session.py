@@ -2,15 +2,19 @@
 
 from pyspark.sql import SparkSession
 
+# Runtime settings: may be changed on a running session.
+RUNTIME = {
+    # The balance is a long flat projection.  A generated method above the JVM's limit for
+    # compilation would run interpreted, many times slower than separate smaller methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Sketches and medians keep their hash tables for many scenes before they fall back to sorting.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
-    # The seven calibration passes are long but flat projections.
-    "spark.sql.codegen.maxFields": "400",
+    **RUNTIME,
 }
 
 
@@ -24,3 +28,10 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, **mo
     for k, v in {**SETTINGS, **more}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def tune(spark: SparkSession) -> None:
+    """Apply the runtime settings to a session built elsewhere, unless it names its own."""
+    for k, v in RUNTIME.items():
+        if spark.sparkContext.getConf().get(k) is None:
+            spark.conf.set(k, v)
