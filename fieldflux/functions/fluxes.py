@@ -24,6 +24,7 @@ def add_cover_fraction(df: DataFrame) -> DataFrame:
 def add_soil_heat(df: DataFrame) -> DataFrame:
     """G from canopy-dependent models, clipped to 60 % of Rn, before moisture damping."""
     rn, cover, lai, alb = (F.col(c) for c in ("Rn", "fc", "LAI", "albedo"))
+    ndvi2 = F.col("NDVI") * F.col("NDVI")
     warm = clip(F.col("LSTk_demcorr") - F.lit(273.15), 0.0, 30.0)
     df = df.withColumns(
         {
@@ -31,7 +32,7 @@ def add_soil_heat(df: DataFrame) -> DataFrame:
             * (
                 warm
                 * (F.lit(0.0038) + F.lit(0.006) * alb)
-                * (F.lit(1.0) - F.lit(0.995) * F.pow("NDVI", F.lit(4.0)))
+                * (F.lit(1.0) - F.lit(0.995) * (ndvi2 * ndvi2))
             ),
             "_g_lai": rn * clip(F.lit(0.05) + F.lit(0.18) * F.exp(F.lit(-0.521) * lai), 0.02, 0.35),
             "_g_bare": clip(F.lit(0.24) + F.lit(0.18) * alb, 0.20, 0.40) * rn,

@@ -46,11 +46,12 @@ def add_shortwave(df: DataFrame) -> DataFrame:
 def add_longwave(df: DataFrame) -> DataFrame:
     """Long-wave terms and net radiation.  Air temperature is the corrected surface one."""
     df = df.withColumn("LSTk_demcorr", corrected_temperature()).withColumn("Ta", F.col("LSTk_demcorr"))
+    t2 = F.col("Ta") * F.col("Ta")
     sky = clip(F.lit(0.72) + F.lit(1.6e-3) * (F.col("Ta") - F.lit(273.15)), 0.72, 0.95)
     df = df.withColumns(
         {
-            "L_up": F.col("e_0") * F.lit(STEFAN_BOLTZMANN) * F.pow("LSTk_demcorr", F.lit(4.0)),
-            "L_down": sky * F.lit(STEFAN_BOLTZMANN) * F.pow("Ta", F.lit(4.0)),
+            "L_up": F.col("e_0") * F.lit(STEFAN_BOLTZMANN) * (t2 * t2),
+            "L_down": sky * F.lit(STEFAN_BOLTZMANN) * (t2 * t2),
         }
     )
     df = df.withColumn("_rn", F.col("Rns") + (F.col("L_down") - F.col("L_up")))
