@@ -73,14 +73,14 @@ def test_dated_statistics_are_plausible(national):
 def test_areas_are_clipped_and_written(spark, national):
     register, catalog, obs, dem, dates = national_inputs(spark, SMALL)
     # Two of the tiles as free-standing areas: boxes a little smaller than the tile.
-    boxes = register.tiles.orderBy("tile_id").limit(2)
+    boxes = register.tiles.join(obs.select("tile_id").distinct(), "tile_id").orderBy("tile_id").limit(2)
     ring = lambda *p: F.array(F.array(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in p])))
     w, s, e, n = (F.col(c) for c in ("lon_min", "lat_min", "lon_max", "lat_max"))
     areas = boxes.select("tile_id", ring((w, s), (e, s), (e, n), (w, n), (w, s)).alias("geometry"))
     out = f"{scratch_dir(spark)}/areas-test"
     run = areas_run(areas, catalog, obs, dem, dates, output=out)
     back = spark.read.parquet(out)
-    assert back.count() == run.energy.pixels.count()
+    assert back.count() == run.energy.pixels.count() > 0
     assert dict(back.dtypes)["LE"] == "float" and "epsg" in back.columns
 
 
