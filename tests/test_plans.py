@@ -47,12 +47,12 @@ def test_geojson(spark):
 
 @pytest.fixture(scope="module")
 def national(spark):
-    register, catalog, obs, dem, dates = national_inputs(spark, SMALL)
-    return register, national_run(register, catalog, obs, dem, dates, wind=T.wind(spark, SMALL))
+    inputs = national_inputs(spark, SMALL)
+    return inputs, national_run(*inputs, wind=T.wind(spark, SMALL))
 
 
 def test_every_parcel_is_accounted_for(national):
-    register, run = national
+    (register, *_), run = national
     row = run.coverage.first()
     assert row["n_parcels"] == register.attributes.count() == row["n_assigned"] + row["n_unassigned"]
     status = run.status.collect()
@@ -71,7 +71,7 @@ def test_dated_statistics_are_plausible(national):
 
 
 def test_areas_are_clipped_and_written(spark, national):
-    register, catalog, obs, dem, dates = national_inputs(spark, SMALL)
+    register, catalog, obs, dem, dates = national[0]
     # Two of the tiles as free-standing areas: boxes a little smaller than the tile.
     boxes = register.tiles.join(obs.select("tile_id").distinct(), "tile_id").orderBy("tile_id").limit(2)
     ring = lambda *p: F.array(F.array(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in p])))
