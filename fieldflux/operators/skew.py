@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000
-SKETCH_ITEMS = 4096
+SKETCH_ITEMS = 16_384
 MAX_HOT = 256
 
 
