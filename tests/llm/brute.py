@@ -20,3 +20,39 @@ def repeated_spans(rows: list[tuple], window: int = 50) -> dict:
         kept = " ".join(x for p, x in enumerate(w) if p not in gone)
         out[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+def shingles(text: str | None, k: int = 5) -> set:
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not words:
+        return set()
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or {tuple(words)}
+
+
+def near_components(rows: list[tuple]) -> dict:
+    """{doc_id: (n_shingles, component_id)} by an inverted index and counted overlaps."""
+    sets = {i: shingles(t) for i, t in rows}
+    index: dict = {}
+    for i, s in sets.items():
+        for x in s:
+            index.setdefault(x, []).append(i)
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, s in sets.items():
+        shared: dict = {}
+        for x in s:
+            for j in index[x]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
