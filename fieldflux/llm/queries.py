@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, language_id, lm_scoring, packing, substring_dedup
-from .common import documents
+from . import bpe, exact_dedup, fingerprints, jaccard_join, language_id, lm_scoring, packing, substring_dedup, warc
+from .common import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +68,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_lm_scoring")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.class_scores(documents(spark, sf_dir))
+
+
+@query(
+    "op5_warc",
+    """WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+    g AS (SELECT html, max(page_id) AS keep FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+    SELECT p.page_id, strlen(p.html) AS payload_bytes, sha1(p.html) AS payload_digest,
+           CASE WHEN g.keep IS NULL OR g.keep = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN g.keep <> p.page_id THEN g.keep END AS refers_to
+    FROM p LEFT JOIN g USING (html)""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(pages(spark, sf_dir)).drop("url")
