@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import dense_positions, stored
 
 WIDE, SIGNS = 8, 2
+NONE = -(1 << 63)  # the place of a null doc_id
 _PAIR = (1 << 32) | 1
 _LOW = (1 << 32) - 1
 
@@ -105,7 +106,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The text is shuffled once, by document; the heads go to the documents before them."""
     base = docs.select(
-        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("h", F.xxhash64("text"))
     ids = base.groupBy("id", "h").agg(F.max(F.length("text")).alias("n"))
     order = stored(dense_positions(ids, ["id", "h"], "pos", "documents"), "order")
@@ -115,10 +116,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.floor(F.col("n") / 2).cast("int").alias("need"),
     )
     links = stored(order.join(before, "pos").select("id", "h", "prev_id", "prev_h", "need"), "links")
-    rows = base.groupBy("id", "h").agg(
-        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")
-    ).join(links, ["id", "h"])
-    heads = rows.select(F.col("prev_id").alias("id"), F.col("prev_h").alias("h"), F.expr("left(text, need)").alias("tail"))
+    # Both readers of `rows` take the same columns from it, so that one exchange of the text serves them.
+    rows = base.groupBy("id", "h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).join(links, ["id", "h"])
+    own = rows.where("copies > 0")
+    heads = own.select(F.col("prev_id").alias("id"), F.col("prev_h").alias("h"), F.expr("left(text, need)").alias("tail"))
     half = F.floor(F.length("text") / 2).cast("int")
     edit = rows.join(heads, ["id", "h"]).withColumn("half", half)
     edit = edit.withColumn("variant", F.explode(F.when(F.col("copies") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
@@ -129,7 +130,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             F.when(F.col("variant") == 0, F.col("tail")).otherwise(F.expr("left(text, half)")),
         ),
     )
-    keep = ["id", "h", "variant", "doc_id", "copies", "prev_id", "prev_h", "n_chars", "edited_sha256"]
+    keep = ["id", "h", "variant", "copies", "n_chars", "edited_sha256"]
     both = edit.select(
         *[c for c in keep if c not in ("n_chars", "edited_sha256")],
         F.length("text").cast("long").alias("n_chars"),
@@ -141,15 +142,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     prints = sums.groupBy(*keep).agg(
         *[pick(c, k).alias(f"{c}{k}") for k in (0, 1) for c in ("wide", "signs", "units")]
     )
-    prints = stored(prints, "fingerprints")
-    after = prints.where("variant = 0").select(
-        F.col("prev_id").alias("id"), F.col("prev_h").alias("h"), F.col("wide0").alias("next_wide"), F.col("signs0").alias("next_signs")
+    # The next document's sums are made where its text is, and sent to the document before it.
+    after = vectors(own.select("id", "h", "prev_id", "prev_h", "text"), ["id", "h", "prev_id", "prev_h"], "text").select(
+        F.col("prev_id").alias("id"), F.col("prev_h").alias("h"), F.col("wide").alias("next_wide"), F.col("signs").alias("next_signs")
     )
     out = prints.join(after, ["id", "h"])
     like = likeness(F.col("wide0"), F.col("signs0"), F.col("next_wide"), F.col("next_signs"))
     times = F.when(F.col("variant") == 0, 1).otherwise(F.col("copies") - 1).cast("int")
     return out.select(
-        "doc_id", "n_chars", "edited_sha256",
+        F.nullif("id", F.lit(NONE)).alias("doc_id"), "n_chars", "edited_sha256",
         text_of(F.col("wide0"), F.col("signs0"), F.col("units0")).alias("fingerprint"),
         text_of(F.col("wide1"), F.col("signs1"), F.col("units1")).alias("edited_fingerprint"),
         likeness(F.col("wide0"), F.col("signs0"), F.col("wide1"), F.col("signs1")).alias("near_edited"),
