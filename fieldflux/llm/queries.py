@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, language_id, lm_scoring, packing, substring_dedup, warc
+from . import bpe, exact_dedup, fingerprints, html_text, jaccard_join, language_id, lm_scoring, packing, substring_dedup, warc
 from .common import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(pages(spark, sf_dir)).drop("url")
+
+
+@query("op7_html_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(pages(spark, sf_dir))
