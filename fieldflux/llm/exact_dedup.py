@@ -96,16 +96,18 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_dedup drops, its columns as they were.
 
-    One row of each group stays, also where its doc_id is repeated: the dropped doc_ids are
-    joined on doc_id and hash, and rows equal in both are thinned to one by a window over
-    (doc_id, hash), which holds the copies of one document under one id only."""
-    marked = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    order = [F.xxhash64(*[c for c in docs.columns if c != "text"])]
-    with_sha = docs.withColumn("__s", sha)
-    kept = with_sha.join(marked, with_sha["doc_id"].eqNullSafe(marked["__id"]) & (with_sha["__s"] == marked["__sha"]), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__r"))
-    twice = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["__r"]), "left_semi")
-    once = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["__r"]), "left_anti")
-    first = twice.groupBy("doc_id", "__s").agg(F.min_by(F.struct(*docs.columns), order[0]).alias("d")).select("d.*")
-    return once.select(*docs.columns).union(first.select(*docs.columns))
+    Of rows that are equal in doc_id and text one stays, with the other columns of the row that
+    comes first by their hash."""
+    found = stored(exact_dedup(docs), "copies")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    sha = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (sha == gone["__sha"]), "left_anti")
+    twice = found.where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id")
+    twice = stored(twice, "repeated")
+    if twice.isEmpty():
+        return kept
+    again = docs["doc_id"].eqNullSafe(twice["__id"])
+    order = F.xxhash64(*[c for c in docs.columns if c != "text"])
+    thin = kept.join(twice, again, "left_semi").groupBy("doc_id", F.coalesce("text", F.lit("")).alias("__text"))
+    thin = thin.agg(F.min_by(F.struct(*docs.columns), order).alias("__row")).select("__row.*")
+    return kept.join(twice, again, "left_anti").union(thin)

@@ -397,3 +397,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     filled = placed.where("n > 0").join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = placed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return filled.union(empty)
+
+
+def keep_first(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """docs without near duplicates, its columns as they were: of each component the rows with
+    the smallest doc_id stay.  Rows without links stay, a null doc_id among them; repeated rows
+    of the smallest doc_id are one document and both stay."""
+    found = near_duplicates(docs, k)
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -163,13 +163,13 @@ def _decide(window: int, k: int, digest: bool):
             open_n, text = per_text(open_at), t["text"].combine_chunks()
             yield pa.RecordBatch.from_arrays(
                 [
-                    t["doc_id"].combine_chunks(), pa.array(_order(t["doc_id"])), pa.array(w.counts.astype(np.int64)),
+                    t["doc_id"].combine_chunks(), t["h"].combine_chunks(), pa.array(_order(t["doc_id"])), pa.array(w.counts.astype(np.int64)),
                     pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()),
                     pa.compute.if_else(pa.array(waits), text, pa.scalar(None, text.type)).cast(pa.string()),
                     _lists(np.concatenate(ends[0]), lengths), _lists(np.concatenate(ends[1]), lengths),
                     _lists(open_at - g.begin[open_at], open_n), _lists(one[open_at].view(np.int64), open_n), _lists(two[open_at].view(np.int64), open_n),
                 ],
-                ["doc_id", "doc", "n_words", "n_removed", "kept_text", "text", "starts", "ends", "places", "w1", "w2"],
+                ["doc_id", "h", "doc", "n_words", "n_removed", "kept_text", "text", "starts", "ends", "places", "w1", "w2"],
             )
 
     return work
@@ -201,6 +201,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = KMER, digest
     empty texts have no words.  A null doc_id comes after all others; rows of one doc_id never
     remove from each other; texts shorter than the window keep everything.  An empty table gives
     no rows; other columns are not read."""
+    kept = F.col("kept_text").alias("kept_sha256" if digest else "kept_text")
+    return _deduped(docs, window, k, digest).select("doc_id", "n_words", "n_removed", kept)
+
+
+def _deduped(docs: DataFrame, window: int, k: int, digest: bool) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("h", F.xxhash64("text"))
     anchors = mapped(base, _anchor_rows(window, k), "doc long, h long, place long, anchor long, around long, cut boolean")
@@ -214,9 +219,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = KMER, digest
         "doc", "h", F.struct("place", (alike & (F.col("doc") > F.col("source.doc"))).alias("sure"), "branch").alias("path")
     ).groupBy("doc", "h").agg(F.collect_set("path").alias("paths"))
     doc = F.coalesce("doc_id", F.lit(LAST))
-    found = base.withColumn("doc", doc).join(paths, ["doc", "h"], "left").select("doc_id", "text", "paths")
+    found = base.withColumn("doc", doc).join(paths, ["doc", "h"], "left").select("doc_id", "h", "text", "paths")
     schema = (
-        "doc_id long, doc long, n_words long, n_removed long, kept_text string, text string, "
+        "doc_id long, h long, doc long, n_words long, n_removed long, kept_text string, text string, "
         "starts array<long>, ends array<long>, places array<long>, w1 array<long>, w2 array<long>"
     )
     first = stored(mapped(found, _decide(window, k, digest), schema).withColumn("row", F.monotonically_increasing_id()), "decided")
@@ -227,6 +232,24 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = KMER, digest
     hits = hits.groupBy("row").agg(F.collect_list("places").alias("found"))
     last = waiting.select("row", "text", "starts", "ends").join(hits, "row", "left")
     last = mapped(last, _finish(window, digest), "row long, n_removed long, kept_text string")
-    kept = F.col("kept_text").alias("kept_sha256" if digest else "kept_text")
-    done = first.where("text is null").select("doc_id", "n_words", "n_removed", kept)
-    return done.union(waiting.select("row", "doc_id", "n_words").join(last, "row").select("doc_id", "n_words", "n_removed", kept))
+    columns = ["doc_id", "h", "n_words", "n_removed", "kept_text"]
+    done = first.where("text is null").select(*columns)
+    return done.union(waiting.select("row", "doc_id", "h", "n_words").join(last, "row").select(*columns))
+
+
+def remove_spans(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> DataFrame:
+    """docs with the repeated words taken out of `text`, and `n_chars`, if there is one, made to
+    fit.  A text that loses nothing stays as it was, white space included; a document that loses
+    every word goes; the other columns stay as they were."""
+    cut = _deduped(docs, window, k, False).where("n_removed > 0").select(
+        F.coalesce("doc_id", F.lit(LAST)).alias("__id"), F.col("h").alias("__h"), F.col("kept_text").alias("__kept"), (F.col("n_removed") == F.col("n_words")).alias("__all")
+    )
+    # Rows equal in doc_id and text lose the same words.
+    cut = stored(cut.distinct(), "cut")
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == cut["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == cut["__h"])
+    joined = docs.join(cut, same, "left").where("__all is null or not __all")
+    text = F.coalesce("__kept", "text")
+    out = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
