@@ -137,7 +137,8 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
             table[own] -= right
             table[:, own] -= left
             table[own, own] -= self_
-            rows, cols = table.sum(axis=1), table.sum(axis=0)
+            # What other classes give to and take from w counts for them wherever w is.
+            rows, cols = table.sum(axis=1) + left, table.sum(axis=0) + right
             gain = (g(table[:k] + right) - g(table[:k])).sum(axis=1) + (g(table[:, :k] + left[:, None]) - g(table[:, :k])).sum(axis=0)
             d = np.arange(k)
             cell = table[d, d]
@@ -194,7 +195,7 @@ def _score(shared):
             yield pa.RecordBatch.from_arrays(
                 [
                     t["doc_id"].combine_chunks(), t["held_out"].combine_chunks(), pa.array(w.counts.astype(np.int64)),
-                    pa.array(np.bincount(owner, held & (count[which] > 0), w.n).astype(np.int64)), pa.array(np.bincount(owner, logs * held, w.n)), pa.array(step),
+                    pa.array(np.bincount(owner, held & (count[which] > 0), w.n).astype(np.int64)), pa.array(np.bincount(owner, logs * held, w.n).astype(float)), pa.array(step.astype(float)),
                     pa.ListArray.from_arrays(cut, keys[word].view(np.int64)), pa.ListArray.from_arrays(cut, times.astype(np.int32)),
                 ],
                 ["doc_id", "held_out", "words", "known", "logs", "step", "rare", "times"],
