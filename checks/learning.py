@@ -29,7 +29,8 @@ def e08(spark, d):
     return rnd(features.trajectory(T.dated(spark, d), [UID]), [UID], FEATS)
 
 
-_SPARSE = "SELECT * FROM dated WHERE l_partkey % 3 <> 0 OR yr = 1997"
+_KEPT = "l_partkey % 3 <> 0 OR yr = 1997"
+_SPARSE = "SELECT * REPLACE (" + ", ".join(f"CASE WHEN {_KEPT} THEN {v}_mean END AS {v}_mean" for v in T.STAT_VARS) + ") FROM dated"
 _SOME = ", ".join(f"avg({v}_mean) AS {v}_mean_mean, stddev_samp({v}_mean) AS {v}_mean_std" for v in T.STAT_VARS)
 CTES["sparse"] = f"SELECT l_partkey, {_SOME} FROM ({_SPARSE}) GROUP BY l_partkey"
 
@@ -39,8 +40,9 @@ CTES["sparse"] = f"SELECT l_partkey, {_SOME} FROM ({_SPARSE}) GROUP BY l_partkey
     f"SELECT l_partkey, {rounded(FEATS)} FROM sparse WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in FEATS),
 )
 def b05(spark, d):
-    """Parts seen in one year have no deviation and are dropped."""
-    thin = T.dated(spark, d).where("l_partkey % 3 <> 0 OR yr = 1997")
+    """Parts with a value in one year have no deviation and are dropped."""
+    means = {f"{v}_mean": F.when(F.expr(_KEPT), F.col(f"{v}_mean")) for v in T.STAT_VARS}
+    thin = T.dated(spark, d).withColumns(means)
     return rnd(features.complete_rows(features.trajectory(thin, [UID])), [UID], FEATS)
 
 

@@ -19,9 +19,14 @@ def recintos(spark, d):
 
 
 def declared(spark, d):
-    return T.parcels(spark, d).where("row_no % 10 <> 0").select(*PARCEL_KEY, "source", "parc_producto", "parc_sistexp")
+    """Every row; one in ten under a province that no parcel has."""
+    p = T.parcels(spark, d)
+    away = F.when(F.col("row_no") % 10 == 0, F.col("provincia") + 1000).otherwise(F.col("provincia"))
+    return p.withColumn("provincia", away.cast(p.schema["provincia"].dataType)).select(*PARCEL_KEY, "source", "parc_producto", "parc_sistexp")
 
 
+CTES["declared"] = f"""SELECT {KEY}, source, parc_producto, parc_sistexp FROM (SELECT * REPLACE (
+  CAST(CASE WHEN row_no % 10 = 0 THEN provincia + 1000 ELSE provincia END AS INTEGER) AS provincia) FROM cust)"""
 _IN = ", ".join(str(s) for s in SCOPE)
 
 
@@ -32,13 +37,12 @@ def a01(spark, d):
 
 @check(
     "a02_declaration_scan",
-    f"SELECT {KEY}, parc_producto, parc_sistexp FROM cust WHERE row_no % 10 <> 0 AND provincia IN ({_IN})",
+    f"SELECT {KEY}, parc_producto, parc_sistexp FROM declared WHERE provincia IN ({_IN})",
 )
 def a02(spark, d):
     return tables.in_provinces(declared(spark, d), SCOPE).select(*PARCEL_KEY, "parc_producto", "parc_sistexp")
 
 
-CTES["declared"] = f"SELECT {KEY}, source, parc_producto, parc_sistexp FROM cust WHERE row_no % 10 <> 0"
 CTES["joined"] = f"""SELECT r.* EXCLUDE (parc_producto, parc_sistexp), c.parc_producto, c.parc_sistexp
 FROM cust r JOIN declared c USING ({KEY}, source)"""
 
@@ -343,13 +347,16 @@ def d05(spark, d):
     "d04_label_enrichment",
     f"""SELECT {KEY}, {rounded(['n_rows'])}, s AS parc_sistexp, p AS parc_producto FROM (
       SELECT {KEY}, CAST(count(*) AS DOUBLE) AS n_rows FROM cust GROUP BY {KEY}) LEFT JOIN (
-      SELECT {KEY}, arg_min(coalesce(parc_sistexp, 'none'), row_no) AS s, arg_min(parc_producto, row_no) AS p FROM cust
-        WHERE row_no % 3 = 0 GROUP BY {KEY}) USING ({KEY})""",
+      SELECT {KEY}, arg_min(coalesce(parc_sistexp, 'none'), row_no) AS s, arg_min(parc_producto, row_no) AS p FROM (
+        SELECT * REPLACE (CAST(CASE WHEN row_no % 3 <> 0 THEN provincia + 1000 ELSE provincia END AS INTEGER) AS provincia) FROM cust)
+        GROUP BY {KEY}) USING ({KEY})""",
 )
 def d04(spark, d):
     p = T.parcels(spark, d)
     feats = p.groupBy(*PARCEL_KEY).agg(F.count(F.lit(1)).cast("double").alias("n_rows"))
-    labels = p.where("row_no % 3 = 0").select(
+    # All rows; two in three under a province that no feature has.
+    away = F.when(F.col("row_no") % 3 != 0, F.col("provincia") + 1000).otherwise(F.col("provincia"))
+    labels = p.withColumn("provincia", away.cast(p.schema["provincia"].dataType)).select(
         *PARCEL_KEY, "row_no", F.coalesce("parc_sistexp", F.lit("none")).alias("parc_sistexp"), "parc_producto"
     )
     return features.attach_labels(feats, labels, PARCEL_KEY, ["row_no"])

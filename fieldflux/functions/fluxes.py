@@ -88,23 +88,25 @@ def add_air_density(df: DataFrame) -> DataFrame:
 
 
 def is_cold() -> Column:
-    """Well-watered dense vegetation."""
-    return (
+    """Well-watered dense vegetation; false where an index is missing."""
+    cold = (
         F.col("LSTk_demcorr").isNotNull()
         & (F.col("NDVI") >= K.COLD_NDVI)
         & (F.col("NDWI") < K.COLD_NDWI)
         & (F.col("albedo") >= K.COLD_ALBEDO_LO)
         & (F.col("albedo") <= K.COLD_ALBEDO_HI)
     )
+    return F.coalesce(cold, F.lit(False))
 
 
 def is_hot() -> Column:
-    """Dry bare ground."""
-    return (
+    """Dry bare ground; false where an index is missing."""
+    hot = (
         F.col("LSTk_demcorr").isNotNull()
         & (F.col("NDVI") <= K.HOT_NDVI)
         & (F.col("NDWI") < K.HOT_NDWI)
     )
+    return F.coalesce(hot, F.lit(False))
 
 
 def add_fluxes(df: DataFrame) -> DataFrame:

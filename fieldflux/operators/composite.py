@@ -4,30 +4,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BANDS
-from .quantiles import medians
-from .skew import HOT_ROWS, hot_key_hashes, key_hash
 
 PIXEL = ["tile_id", "y", "x"]
 
 
-def median_composite(
-    obs: DataFrame, scene: list[str], bands: list[str] = BANDS, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def median_composite(obs: DataFrame, scene: list[str], bands: list[str] = BANDS) -> DataFrame:
     """Median of every band over the observations of a pixel in a scene, missing skipped.
 
     Rows are hash-partitioned by pixel without the date, so the grouping by scene and pixel
-    and a later join on the pixel (terrain, parcels) need no second shuffle.  Pixels with
-    very many observations are computed by the group-splitting order statistics instead."""
+    and a later join on the pixel (terrain, parcels) need no second shuffle.  A pixel of a scene
+    has as many values as there are satellite passes.  For groups without such a bound there is
+    quantiles.medians, which splits every group."""
     keys = [*scene, "y", "x"]
-    rows = obs.select(*keys, *bands)
-    hot = hot_key_hashes(rows, PIXEL, hot_rows)
-    usual = rows
-    if hot:
-        usual = rows.where(~key_hash(PIXEL).isin(hot))
-    usual = usual.repartition(*PIXEL).groupBy(*keys).agg(*[F.median(b).alias(b) for b in bands])
-    if not hot:
-        return usual
-    return usual.unionByName(medians(rows.where(key_hash(PIXEL).isin(hot)), keys, bands))
+    rows = obs.select(*keys, *bands).repartition(*PIXEL)
+    return rows.groupBy(*keys).agg(*[F.median(b).alias(b) for b in bands])
 
 
 def cluster_by_scene(pixels: DataFrame, scene: list[str], rows: int = 64) -> DataFrame:

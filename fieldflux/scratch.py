@@ -6,8 +6,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A per-scene row is about 200 bytes, so this many of them stay far below executor memory.
-MAX_BROADCAST_ROWS = 200_000
+# Of the rows that a broadcast side may have, so that it stays far below executor memory.
+MAX_BROADCAST_BYTES = 48 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,9 +35,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """True if df has at most max_rows rows; reads no more than that many."""
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+def row_bytes(df: DataFrame) -> int:
+    """What a row of this schema takes, strings and arrays by Spark's own default size for them."""
+    return 16 + df.sparkSession._jvm.org.apache.spark.sql.types.DataType.fromJson(df.schema.json()).defaultSize()
+
+
+def is_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """True if the rows of df take at most max_bytes; reads no more rows than that."""
+    most = max(1, max_bytes // row_bytes(df))
+    return df.select(F.lit(1)).limit(most + 1).count() <= most
 
 
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", bounded: bool = False):

@@ -11,13 +11,17 @@ def label_suffix(name: str, label: str = "") -> str:
 
 
 def write_bands(pixels: DataFrame, path: str, by: list[str]) -> None:
-    """LE, EF, ET_inst and ET24h as 4-byte floats with the epsg column, one folder per scene.
+    """LE, EF, ET_inst and ET24h as 4-byte floats with the epsg column, one folder per date.
 
-    Rows are clustered by scene and raster rows first, so a scene becomes a few files and
-    a large one still spreads over tasks."""
+    Rows are clustered by scene and raster rows first, so a large scene spreads over tasks, and
+    sorted by tile within a file, so a reader of one tile skips the others' row groups.  Without
+    a date among the keys there is one folder."""
     out = pixels.select(*by, "epsg", "y", "x", *[F.col(v).cast("float").alias(v) for v in EXPORT_VARS])
     out = out.repartition(*by, F.floor(F.col("y") / 256))
-    out.write.mode("overwrite").partitionBy(*by).parquet(path)
+    folders = [k for k in by if k == "date"]
+    out = out.sortWithinPartitions(*by, "y", "x")
+    writer = out.write.mode("overwrite")
+    (writer.partitionBy(*folders) if folders else writer).parquet(path)
 
 
 def write_table(df: DataFrame, path: str, label: str = "", fmt: str = "csv", by: list[str] | None = None) -> str:
@@ -34,8 +38,9 @@ def write_table(df: DataFrame, path: str, label: str = "", fmt: str = "csv", by:
 
 
 def write_model(model, predictions: DataFrame, path: str, feature_set: str, name: str) -> str:
-    """The fitted model, and its train and test labels, predictions and probabilities."""
-    target = f"{path}/{feature_set.replace('+', '_plus_')}_{name}_holdout"
+    """The fitted model, and its train and test labels, predictions and probabilities, in a
+    folder for each feature set and model."""
+    target = f"{path}/features={feature_set}/algorithm={name}"
     model.write().overwrite().save(f"{target}/model")
     predictions.write.mode("overwrite").partitionBy("split").parquet(f"{target}/predictions")
     return target

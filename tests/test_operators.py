@@ -58,8 +58,9 @@ def nearest(values, q):
     return v[int(np.rint(q * (len(v) - 1)))]
 
 
-@pytest.mark.parametrize("unbracketed", [10, 20_000])
-def test_order_statistics(spark, unbracketed):
+@pytest.mark.parametrize("accuracy,step", [(10_000, None), (2000, None), (50, 1e-4), (20, 0.01)])
+def test_order_statistics(spark, accuracy, step):
+    """Coarse sketches with narrow brackets miss ranks: those groups are widened and right too."""
     rng = random.Random(3)
     rows = []
     for g, n in enumerate([1, 2, 20, 31, 400, 3000]):
@@ -67,9 +68,7 @@ def test_order_statistics(spark, unbracketed):
     rows.append((99, None))
     df = spark.createDataFrame(rows, "g int, v double")
     ranks = [quantiles.Rank(f"q{int(q * 100)}", F.col("v"), q) for q in (0.05, 0.5, 0.8, 0.98)]
-    # A coarse sketch and a low limit send the large groups through narrow brackets.
-    limit = 1000 if unbracketed == 10 else unbracketed
-    got = {r["g"]: r for r in quantiles.order_statistics(df, ["g"], ranks, 2000, limit).collect()}
+    got = {r["g"]: r for r in quantiles.order_statistics(df, ["g"], ranks, accuracy, step=step).collect()}
     assert got[99]["q50"] is None
     for g in range(6):
         values = [v for k, v in rows if k == g and v is not None]
@@ -83,13 +82,13 @@ def test_half_even_rank(spark):
     assert got["q"] == 0.0  # 0.05 * 10 = 0.5 goes to the even rank 0
 
 
-def test_hot_pixels_give_the_same_medians(spark):
+def test_split_groups_give_the_same_medians(spark):
     rng = random.Random(5)
     rows = [(0, d, 0, x, rng.choice([None, rng.random()]), rng.random()) for d in (1, 2) for x in range(6) for _ in range(60 if x == 2 else 4)]
     df = spark.createDataFrame(rows, "tile_id int, date int, y int, x int, red double, nir08 double")
     args = (df, ["tile_id", "date"], ["red", "nir08"])
     usual = {tuple(r) for r in composite.median_composite(*args).collect()}
-    split = {tuple(r) for r in composite.median_composite(*args, hot_rows=50).collect()}
+    split = {tuple(r) for r in quantiles.medians(df, ["tile_id", "date", "y", "x"], ["red", "nir08"]).collect()}
     assert usual == split
 
 
@@ -101,6 +100,24 @@ def test_gradient_needs_the_next_cell(spark):
     assert g[(1, 1)]["dzdx"] is None and g[(1, 3)]["dzdx"] is None and g[(1, 1)]["dzdy"] == 10.0
 
 
+def test_missed_bracket_is_widened(spark):
+    df = spark.createDataFrame([(g, float(i)) for g in range(3) for i in range(30_000)], "g int, v double").repartition(4)
+    ranks = [quantiles.Rank("a", F.col("v"), 0.37), quantiles.Rank("b", F.col("v"), 0.999)]
+    # An error of a tenth of the group against brackets of a ten-thousandth on each side.
+    for r in quantiles.order_statistics(df, ["g"], ranks, accuracy=10, step=1e-4).collect():
+        assert (r["a"], r["b"]) == (nearest(range(30_000), 0.37), nearest(range(30_000), 0.999))
+
+
+def test_elevation_ends_with_the_tile(spark):
+    """Cells of two pixels reach over the last line of an odd raster: its gradient is one-sided."""
+    dem = spark.createDataFrame([(0, y, x, float((x + y) ** 2)) for y in range(4) for x in range(4)], "tile_id int, y int, x int, dem double")
+    tiles = spark.createDataFrame([(0, 7, 7)], "tile_id int, nx int, ny int")
+    cut = terrain.cut_to_tile(terrain.expand_cells(dem), tiles)
+    got = {(r["y"], r["x"]): r for r in terrain.gradient(cut, 1.0).collect()}
+    assert len(got) == 49 and max(got) == (6, 6)
+    assert got[(0, 6)]["dzdx"] == 9.0 - 4.0 and got[(6, 0)]["dzdy"] == 9.0 - 4.0
+
+
 def test_expand_cells_is_nearest(spark):
     dem = spark.createDataFrame([(0, y, x, float(y * 3 + x)) for y in range(2) for x in range(3)], "tile_id int, y int, x int, dem double")
     px = spark.createDataFrame([(0, y, x) for y in range(4) for x in range(6)], "tile_id int, y int, x int")
@@ -256,3 +273,30 @@ def test_metrics_of_one_class(spark):
     df = spark.createDataFrame([(0, 0, 0.1), (0, 0, 0.2)], "label int, prediction int, proba double").withColumn("m", F.lit(1))
     r = metrics.all_metrics(df, ["m"]).first()
     assert r["accuracy"] == 1.0 and r["F1"] == 0.0 and r["AUC"] is None
+
+
+def test_feature_csv_is_read_by_name(spark):
+    """Columns in the run's order, a second batch in another order without parcel_uid."""
+    from fieldflux.scratch import scratch_dir
+    from fieldflux.sources import sinks, tables
+
+    names = [f.split()[0] for f in tables.SCHEMAS["features"].split(", ")]
+    types = dict(f.split() for f in tables.SCHEMAS["features"].split(", "))
+    values = {n: {"int": i, "double": i + 0.5, "string": f"s{i}"}[types[n]] for i, n in enumerate(names)}
+    df = spark.createDataFrame([tuple(values.values())], tables.SCHEMAS["features"])
+    folder = f"{scratch_dir(spark)}/features-{random.randrange(1 << 60)}"
+    one = sinks.write_table(df.select(F.lit("7_1").alias("parcel_uid"), *names), f"{folder}/a", "x")
+    two = sinks.write_table(df.select(*reversed(names[1:])), f"{folder}/b")
+    rows = {r["parcel_uid"]: r.asDict() for r in tables.feature_csv(spark, one, two).collect()}
+    assert rows["7_1"] == {"parcel_uid": "7_1", **values}
+    assert rows[None] == {"parcel_uid": None, **values, names[0]: None}
+
+
+def test_status_keeps_parcels_of_tiles_without_scenes(spark):
+    from fieldflux.operators.scenes import scene_status
+
+    expected = spark.createDataFrame([("a", "d1"), ("b", None)], "tile_id string, date string")
+    counts = spark.createDataFrame([("a", "d1", 5, 4), ("b", None, 7, None)], "tile_id string, date string, n_parcels long, n_kept long")
+    scalars = spark.createDataFrame([("a", "d1", 0.5)], "tile_id string, date string, a_1 double")
+    got = {r["tile_id"]: tuple(r)[2:] for r in scene_status(expected, counts, scalars, ["tile_id", "date"]).collect()}
+    assert got == {"a": ("ok", 5, 4, 1), "b": ("no_scenes", 7, 0, 7)}
