@@ -18,7 +18,6 @@ FIXED_UREF = 3.5
 WIND_HEIGHT_M = 10.0
 WIND_GRID_DEG = 0.25
 ELEVATION_STRIDE = 64
-DEM_PAD_M = 30.0
 
 # --- Fixed values: physics -----------------------------------------------------------
 SOLAR_CONSTANT = 1361.0
@@ -56,6 +55,8 @@ FOREST_SPACE = {
     "n_estimators": [200, 300, 400],
     "max_depth": [3, 5, 8, 12],
     "min_samples_leaf": [1, 2, 5, 10, 20],
+    "min_samples_split": [2, 5, 10, 20],
     "max_features": ["sqrt", "log2", 0.5, None],
 }
 SEARCH_CANDIDATES = 40
+FITS_AT_ONCE = 8

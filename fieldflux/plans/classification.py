@@ -18,7 +18,8 @@ METRICS = ["accuracy", "misclass_rate", "balanced_accuracy", "AUC", "F1"]
 
 @dataclass
 class Holdout:
-    """predictions: model, split, uid, label, prediction, proba.  summary: rounded test metrics."""
+    """predictions: model, split, uid, label, prediction, proba.  summary: rounded test metrics.
+    search: parameters and mean score of the best candidate, where a search was made."""
 
     predictions: DataFrame
     summary: DataFrame
@@ -26,6 +27,7 @@ class Holdout:
     confusion: DataFrame
     sweep: DataFrame
     importances: list = field(default_factory=list)
+    search: dict = field(default_factory=dict)
 
 
 def holdout_evaluation(
@@ -84,12 +86,14 @@ def classify(
         columns = feature_sets(rows, crop)[name]
         encoded = models.encoder(rows, columns, crop).transform(rows).select(uid, models.LABEL, "features")
         encoded = materialize(encoded, "features")
-        params = forest_params
+        params, found = forest_params, {}
         if params is None:
             scores = models.search_forest(encoded, uid, models.sample_candidates(candidates))
             best = best_candidate(scores, list(K.FOREST_SPACE)).first()
-            params = models.parse_params(best.asDict())
+            found = best.asDict()
+            params = models.parse_params(found)
         result = holdout_evaluation(holdout(encoded, uid), uid, name, params, force_cv, output)
+        result.search = found
         # Three rows at most, one per model.
         chosen = [r["model"] for r in result.gaps.where("run_cv").collect()]
         summary = None
