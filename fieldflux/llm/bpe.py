@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -70,49 +71,54 @@ class Vocabulary:
         self.order = np.argsort(code)
         self.code = code[self.order]
         self.rank = dict(zip(code.tolist(), range(len(code)), strict=True))
-        split = model.get("split") or next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pattern = regex.compile(split.replace("\\s", WHITE) if "[^\\s" in split else split)
-        self.white = regex.compile(f"[{WHITE}]+")
+        # The same for ASCII alone: no letters, digits or white space beyond it to think of.
+        self.plain = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
         self.marks = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
 
-    def _pieces(self, word: str) -> Iterator[bytes | int]:
+    def _pieces(self, word: str) -> list[bytes | int]:
         """The parts of a word that are encoded apart: bytes, or the id of a special token."""
-        if word.isascii():
-            if "<|" not in word:
-                yield from (p.encode() for p in self.pattern.findall(word.lower()))
-                return
-        at, spots = 0, list(self.marks.finditer(word)) if self.marks else []
+        if word.isascii() and "<|" not in word:
+            return self.plain.findall(word.lower().encode())
+        out, at = [], 0
+        spots = list(self.marks.finditer(word)) if self.marks else []
         for m in [*spots, None]:
             part = word[at : m.start() if m else len(word)]
-            part = self.white.sub(" ", unicodedata.normalize("NFC", part))
-            # Character by character: no rule that looks at neighbours, as for a final sigma.
-            part = "".join(c.lower() for c in part)
-            yield from (p.encode() for p in self.pattern.findall(part))
+            part = unicodedata.normalize("NFC", part)
+            # Character by character: no rule that looks at neighbours, which only sigma has.
+            part = "".join(c.lower() for c in part) if "Σ" in part else part.lower()
+            out += [p.encode() for p in self.pattern.findall(part)]
             if m:
-                yield self.special[m.group()]
+                out.append(self.special[m.group()])
                 at = m.end()
+        return out
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words one after another, number of ids of each)."""
-        raw, lengths, owner, fixed = [], [], [], []
-        for i, word in enumerate(words):
-            for p in self._pieces(word):
-                owner.append(i)
-                fixed.append(p if isinstance(p, int) else -1)
-                raw.append(b"?" if isinstance(p, int) else p)
-                lengths.append(len(raw[-1]))
-        if not raw:
-            return np.empty(0, np.int32), np.zeros(len(words), np.int64)
-        data, lengths = np.frombuffer(b"".join(raw), np.uint8), np.array(lengths)
+        """(ids of all words one after another, number of ids of each).  Each different part of
+        the words is encoded once."""
+        number: dict[bytes | int, int] = {}
+        which, parts = [], []
+        for word in words:
+            got = self._pieces(word)
+            parts.append(len(got))
+            which += [number.setdefault(p, len(number)) for p in got]
+        ids, counts = self.encode_pieces(list(number)) if number else (np.empty(0, np.int32), np.zeros(0, np.int64))
+        which = np.array(which, np.int64)
+        starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)[:-1]
+        own = counts[which] if len(which) else which
+        ends = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(parts)]).astype(np.int64)]
+        return ids[gathered(own, starts[which])], np.diff(ends)
+
+    def encode_pieces(self, pieces: list[bytes | int]) -> tuple[np.ndarray, np.ndarray]:
+        fixed = np.array([p if isinstance(p, int) else -1 for p in pieces])
+        raw = [b"?" if isinstance(p, int) else p for p in pieces]
+        data, lengths = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw])
         ends = np.cumsum(lengths)
         sym = self.inner[data]
-        sym[ends - 1] = self.last[data[ends - 1]]
-        fixed = np.array(fixed)
-        sym[ends[fixed >= 0] - 1] = fixed[fixed >= 0]
-        piece = np.repeat(np.arange(len(lengths)), lengths)
+        sym[ends - 1] = np.where(fixed >= 0, fixed, self.last[data[ends - 1]])
         left = self._merged(sym, ends)
-        counts = np.bincount(np.array(owner)[piece[left]], minlength=len(words))
-        return sym[left], counts
+        return sym[left], np.diff(np.searchsorted(left, np.concatenate([[0], ends])))
 
     def _merged(self, sym: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Merges the symbols in place; the places that are left.  A place that a merge has
@@ -188,24 +194,23 @@ class Vocabulary:
         return np.flatnonzero(sym >= 0)
 
 
-class Library:
-    """The same by the tokenizers library, for operators that only use ids."""
+class Library(Vocabulary):
+    """Ids by the tokenizers library, for operators that only use them: its model encodes the parts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        super().__init__(path)
+        self.model = Tokenizer.from_file(path).model
+        self.spelled = str.maketrans(dict(enumerate(byte_symbols())))
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        flat, counts = [], []
-        for i in range(0, len(words), 4096):
-            for e in self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False):
-                ids = e.ids
-                flat += ids
-                counts.append(len(ids))
-        return np.array(flat, np.int32), np.array(counts, np.int64)
+    def encode_pieces(self, pieces: list[bytes | int]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = [], []
+        for p in pieces:
+            got = [p] if isinstance(p, int) else [t.id for t in self.model.tokenize(p.decode("latin-1").translate(self.spelled))]
+            ids += got
+            counts.append(len(got))
+        return np.array(ids, np.int32), np.array(counts, np.int64)
 
 
 class WordIds:
@@ -214,7 +219,7 @@ class WordIds:
     Splitting at white space first changes nothing: the vocabulary drops white space, and neither
     its normal form nor its pattern nor a special token looks across it."""
 
-    def __init__(self, encode: Callable, limit: int = 600_000):
+    def __init__(self, encode: Callable, limit: int = 900_000):
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -261,7 +266,7 @@ def _encode(path: str, with_ids: bool):
     def work(batches: Iterator[pa.RecordBatch]):
         coder = word_ids(path, library=False)
         tokens = _tokens(path)
-        for t in chunks(batches, "text", 16 << 20):
+        for t in chunks(batches, "text", 8 << 20):
             w = Words(t["text"])
             ids, per_word, which, start, count = coder(w)
             ends = np.concatenate([[0], np.cumsum(per_word)])[w.first]
