@@ -117,18 +117,18 @@ def components(spark: SparkSession, edges: DataFrame, label: str = "components")
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.Table]:
-    """The rows of a task in groups of about `limit` bytes of `column`, one row at least."""
-    held, size = [], 0
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20, most: int = 1 << 14) -> Iterator[pa.Table]:
+    """The rows of a task in groups of about `limit` bytes of `column` and `most` rows, one row at least."""
+    held, size, count = [], 0, 0
     for batch in batches:
         at, col = 0, batch.column(batch.schema.get_field_index(column))
         lengths = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
         for end in range(batch.num_rows):
-            size += int(lengths[end])
-            if size >= limit:
+            size, count = size + int(lengths[end]), count + 1
+            if size >= limit or count >= most:
                 held.append(batch.slice(at, end + 1 - at))
                 yield pa.Table.from_batches(held)
-                held, size, at = [], 0, end + 1
+                held, size, count, at = [], 0, 0, end + 1
         if at < batch.num_rows:
             held.append(batch.slice(at))
     if held:

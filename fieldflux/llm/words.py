@@ -11,7 +11,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-PIECE = 4 << 20
+PIECE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
