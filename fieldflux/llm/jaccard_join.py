@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 from .common import chunks, components, mapped, partitions, stored
 from .words import RUNS, U, Words, gathered, mix
 
-SHINGLE, LEADERS = 5, 8
-#: A shingle is frequent if at least this share of documents has it; counted by chunk first,
-#: where it must be in LOCAL documents at least.  The number of frequent shingles is at most the
-#: mean set size / FREQUENT, and MOST_FREQUENT in any case.  Neither changes a result.
-FREQUENT, LOCAL, MOST_FREQUENT = 0.005, 8, 1 << 18
+SHINGLE, LEADERS = 5, 3
+#: A shingle is frequent if at least this share (and 8 LOCAL) of documents has it, counted over chunks in
+#: which LOCAL documents have it at least; the MOST_FREQUENT of them count.  None of the three
+#: changes a result: they say which shingles are left out of segments.
+FREQUENT, LOCAL, MOST_FREQUENT = 0.0002, 2, 1 << 18
+#: Bits of the sketch by which pairs within a large group are compared.
+SHORT = 1024
 _K = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -84,6 +86,13 @@ def _sketch(values: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
+def _short(s: Sets) -> list[np.ndarray]:
+    """Sketches of SHORT bits for every text, as numbers that Spark can compare."""
+    odd = np.zeros((len(s.sizes), SHORT), bool)
+    np.logical_xor.at(odd, (s.owner, (s.values & U(SHORT - 1)).astype(np.int64)), True)
+    return list(np.packbits(odd, axis=1, bitorder="little").view(np.int64))
+
+
 def _fold(a: np.ndarray, n: int) -> np.ndarray:
     while len(a) > n:
         a = a[: len(a) // 2] ^ a[len(a) // 2 :]
@@ -96,19 +105,21 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(_fold(x, n) ^ _fold(y, n)).sum())
 
 
-def _describe(k: int):
+def _describe(k: int, frequent: float, local: int):
     """kind 0: (doc_id, n, digest, sketch) of each row; kind 1: counts of shingles often met."""
 
     def work(batches: Iterator[pa.RecordBatch]):
         for t in chunks(batches, "text"):
             s = Sets(t["text"], k)
             cuts = zip(s.first[:-1].tolist(), s.first[1:].tolist(), strict=True)
+            cuts = list(cuts)
             sketch = [_sketch(s.values[a:b]) if b > a else None for a, b in cuts]
+            short = _short(s)
             n = len(s.sizes)
             _, one = np.unique(s.digest, return_index=True)
             one = one[s.sizes[one] > 0]
             got, times = np.unique(s.values[gathered(s.sizes[one], s.first[one])], return_counts=True)
-            often = times >= max(LOCAL, FREQUENT * 2 * len(one))
+            often = times >= max(local, frequent * len(one))
             got, times = got[often], times[often]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -117,8 +128,9 @@ def _describe(k: int):
                     pa.array(np.concatenate([s.sizes, times])),
                     pa.array(np.concatenate([s.digest, got]).view(np.int64)),
                     pa.array([*sketch, *[None] * len(got)], pa.binary()),
+                    pa.array([*short, *[None] * len(got)], pa.list_(pa.int64())),
                 ],
-                ["kind", "doc_id", "n", "id", "sketch"],
+                ["kind", "doc_id", "n", "id", "sketch", "short"],
             )
 
     return work
@@ -146,7 +158,7 @@ def _segments(s: Sets, docs: np.ndarray, frequent: np.ndarray, edges: np.ndarray
         full = np.flatnonzero(words)
         doc = np.searchsorted(begin, full, "right") - 1
         slot = (full - begin[doc]).astype(U)
-        keys.append(mix(words[full] ^ mix(slot * _K[2] + pair[doc].astype(U) * _K[3] + U(space) * _K[4])))
+        keys.append(mix(words[full] ^ mix(slot * _K[2] + pair[doc].astype(U) * _K[3] + (_K[4] ^ U(space)))))
         whose.append(doc)
         return np.bincount(doc, minlength=len(docs))
 
@@ -165,7 +177,7 @@ def _segments(s: Sets, docs: np.ndarray, frequent: np.ndarray, edges: np.ndarray
             weak &= got <= most
         if weak.any():
             mask = weak[owner]
-            keys.append(mix(values[mask] ^ mix(pair[owner[mask]].astype(U) * _K[3] + U(2) * _K[4])))
+            keys.append(mix(values[mask] ^ mix(pair[owner[mask]].astype(U) * _K[3] + _K[4] ^ U(2))))
             whose.append(owner[mask])
     return np.concatenate(keys), np.concatenate(whose)
 
@@ -183,20 +195,23 @@ def _grouped(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, ids, np.arange(len(keys)) - np.repeat(start, size), np.repeat(size, size)
 
 
-def _pairs(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _pairs(ids: np.ndarray, place: np.ndarray, leaders: int) -> np.ndarray:
     """(member, leader), each once."""
     out = [np.empty((0, 2), U)]
-    for j in range(LEADERS):
+    for j in range(leaders):
         m = np.flatnonzero(place > j)
         out.append(np.stack([ids[m], ids[m - place[m] + j]], 1))
     both = np.concatenate(out)
     return np.unique(both, axis=0) if len(both) else both
 
 
+#: Bytes that are sent of a key besides its range.  Two segments that agree by chance make a
+#: candidate that the sets then refuse: with n keys in r ranges about n^2 / (r * 2^41) pairs.
+LOW = 5
 _BLOB = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("who", pa.binary()), ("ids", pa.binary())])
 
 
-def _emit(frequent, edges, ranges: int, k: int):
+def _emit(frequent, edges, ranges: int, k: int, leaders: int):
     def work(batches: Iterator[pa.RecordBatch]):
         for number, t in enumerate(chunks(batches, "text")):
             s = Sets(t["text"], k)
@@ -208,12 +223,12 @@ def _emit(frequent, edges, ranges: int, k: int):
             ids = s.digest[docs]
             keys, whose, place, size = _grouped(keys, whose)
             rows: list[tuple] = []
-            crowd = size > LEADERS + 1
+            crowd = size > leaders + 1
             part = int(ids[0] % U(ranges))
             if crowd.any():
-                rows.append((part, 1, b"", b"", _pairs(ids[whose[crowd]], place[crowd]).tobytes()))
+                rows.append((part, 1, b"", b"", _pairs(ids[whose[crowd]], place[crowd], leaders).tobytes()))
                 rows.append((part, 2, _group_key(keys[crowd], ranges).tobytes(), b"", ids[whose[crowd]].tobytes()))
-            sent = place <= LEADERS
+            sent = place <= leaders
             keys, whose = keys[sent], whose[sent]
             # Keys are in order, and so are their ranges.
             cuts = np.searchsorted(_range(keys, ranges), np.arange(ranges + 1))
@@ -222,7 +237,7 @@ def _emit(frequent, edges, ranges: int, k: int):
                 if b > a:
                     own, local = np.unique(whose[a:b], return_inverse=True)
                     kind = np.uint16 if len(own) < 65536 else np.uint32
-                    low = keys[a:b].view(np.uint8).reshape(-1, 8)[:, :6]
+                    low = keys[a:b].view(np.uint8).reshape(-1, 8)[:, :LOW]
                     rows.append((r, 0, low.tobytes(), local.astype(kind).tobytes(), ids[own].tobytes()))
             yield pa.RecordBatch.from_pylist([dict(zip(_BLOB.names, r, strict=True)) for r in rows], _BLOB)
 
@@ -234,11 +249,11 @@ def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _group_key(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """The range and the low 48 bits, which is what is sent of a key."""
-    return (_range(keys, ranges).astype(U) << U(48)) | (keys & U((1 << 48) - 1))
+    """The range and the low bytes, which is what is sent of a key."""
+    return (_range(keys, ranges).astype(U) << U(8 * LOW)) | (keys & U((1 << 8 * LOW) - 1))
 
 
-def _meet():
+def _meet(leaders: int):
     """Of all segments of a range: kind 1 pairs (a, b), kind 2 members (key a, document b)."""
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray):
@@ -259,18 +274,18 @@ def _meet():
                 elif r["kind"] == 2:
                     yield from rows(2, np.frombuffer(r["keys"], U), ids)
                 else:
-                    m = len(r["keys"]) // 6
+                    m = len(r["keys"]) // LOW
                     low = np.zeros((m, 8), np.uint8)
-                    low[:, :6] = np.frombuffer(r["keys"], np.uint8).reshape(m, 6)
+                    low[:, :LOW] = np.frombuffer(r["keys"], np.uint8).reshape(m, LOW)
                     who = np.frombuffer(r["who"], np.uint16 if len(r["who"]) == 2 * m else np.uint32)
-                    keys = low.view(U).ravel() | (U(r["part"]) << U(48))
+                    keys = low.view(U).ravel() | (U(r["part"]) << U(8 * LOW))
                     held.setdefault(r["part"], []).append((keys, ids[who]))
         for part in list(held):
             keys, ids = (np.concatenate(x) for x in zip(*held.pop(part), strict=True))
             keys, ids, place, size = _grouped(keys, ids)
-            crowd = size > LEADERS + 1
+            crowd = size > leaders + 1
             yield from rows(2, keys[crowd], ids[crowd])
-            pairs = _pairs(ids, place)
+            pairs = _pairs(ids, place, leaders)
             yield from rows(1, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
 
     return work
@@ -336,7 +351,9 @@ def _bit_map(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, k: int = SHINGLE, leaders: int = LEADERS, frequent_share: float = FREQUENT, local: int = LOCAL
+) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id.
 
     A set holds the distinct k-word shingles of the lower-cased (A-Z) words; with fewer words
@@ -348,18 +365,18 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = base.select("text")
-    about = stored(mapped(base, _describe(k), "kind int, doc_id long, n long, id long, sketch binary"), "sets")
-    rows = about.where("kind = 0").select("doc_id", "n", "id", "sketch")
+    about = stored(mapped(base, _describe(k, frequent_share, local), "kind int, doc_id long, n long, id long, sketch binary, short array<long>"), "sets")
+    rows = about.where("kind = 0").select("doc_id", "n", "id", "sketch", "short")
     count, largest = rows.agg(F.count(F.lit(1)), F.max("n")).first()
-    frequent = about.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT * count)
+    frequent = about.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8 * local, frequent_share * count))
     frequent = frequent.orderBy(F.desc("n")).limit(MOST_FREQUENT).select("id").toArrow()["id"].to_numpy()
     sc = spark.sparkContext
     hot = sc.broadcast(np.sort(frequent.view(U)))
     edges = np.array(bands(largest or 1), np.int64)
     ranges = partitions(spark)
-    blobs = mapped(texts, _emit(hot, edges, ranges, k), "part int, kind int, keys binary, who binary, ids binary")
-    met = stored(mapped(blobs.repartitionById(ranges, F.col("part")), _meet(), "kind int, a long, b long"), "met")
-    classes = rows.where("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    blobs = mapped(texts, _emit(hot, edges, ranges, k, leaders), "part int, kind int, keys binary, who binary, ids binary")
+    met = stored(mapped(blobs.repartitionById(ranges, F.col("part")), _meet(leaders), "kind int, a long, b long"), "met")
+    classes = rows.where("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
     classes = stored(classes, "classes")
 
     def tested(pairs: DataFrame, label: str) -> DataFrame:
@@ -385,8 +402,14 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     apart = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     members = stored(members.join(apart, "key", "left_semi"), "apart")
     if not members.isEmpty():
-        one, two = (members.select("key", F.col("id").alias(s), F.col("root").alias(f"r{s}")) for s in "ab")
-        more = one.join(two, (one["key"] == two["key"]) & (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b").distinct()
+        members = members.join(classes.select("id", "n", "short"), "id")
+        one, two = (members.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "n", "short")]) for s in "ab")
+        apart = F.aggregate(F.zip_with("short_a", "short_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        # The sketches are compared within the join, so that only likely pairs leave it.
+        may = (F.col("id_a") > F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & (
+            4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")
+        ) & (7 * apart <= F.col("n_a") + F.col("n_b"))
+        more = one.join(two, (one["key"] == two["key"]) & may).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
         more = tested(stored(more.join(met.where("kind = 1").select("a", "b"), ["a", "b"], "left_anti"), "rest"), "rest")
         if not more.isEmpty():
             links = links.union(more)
