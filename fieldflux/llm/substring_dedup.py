@@ -214,6 +214,8 @@ def _deduped(docs: DataFrame, window: int, k: int, digest: bool) -> DataFrame:
         F.min(F.struct("doc", "place", "around", "cut")).alias("source"), F.max("doc").alias("top"),
         F.min("around").alias("a"), F.max("around").alias("b"), F.max("cut").alias("any_cut"),
     ).where("source.doc < top").select("anchor", "source", (F.col("any_cut") | (F.col("a") != F.col("b"))).alias("branch"))
+    # Stored, so that the join below shuffles both sides for itself and a hot anchor can be split.
+    nodes = stored(nodes, "nodes")
     alike = (F.col("around") == F.col("source.around")) & ~F.col("cut") & ~F.col("source.cut")
     paths = anchors.join(nodes, "anchor").select(
         "doc", "h", F.struct("place", (alike & (F.col("doc") > F.col("source.doc"))).alias("sure"), "branch").alias("path")
@@ -228,7 +230,8 @@ def _deduped(docs: DataFrame, window: int, k: int, digest: bool) -> DataFrame:
     waiting = first.where("text is not null")
     single = waiting.select("row", "doc", F.explode(F.arrays_zip("places", "w1", "w2")).alias("x")).select("row", "doc", "x.*")
     again = single.groupBy("w1", "w2").agg(F.min("doc").alias("source"), F.max("doc").alias("top")).where("source < top")
-    hits = single.join(again.select("w1", "w2", "source"), ["w1", "w2"]).where("source < doc")
+    again = stored(again.select("w1", "w2", "source"), "again")
+    hits = single.join(again, ["w1", "w2"]).where("source < doc")
     hits = hits.groupBy("row").agg(F.collect_list("places").alias("found"))
     last = waiting.select("row", "text", "starts", "ends").join(hits, "row", "left")
     last = mapped(last, _finish(window, digest), "row long, n_removed long, kept_text string")
