@@ -204,6 +204,21 @@ def _score(shared):
     return work
 
 
+def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """(h, c) of the most frequent words, `most` at most: those above a count that a histogram of
+    a few thousand bins gives, so nothing is sorted and no task sees more than its own words."""
+    # Equal counts share a bin, so a bin is taken whole or not at all.
+    bin_ = F.floor(F.log2("c") * 64)
+    sizes = {r["b"]: r["n"] for r in counts.groupBy(bin_.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, total = None, 0
+    for b in sorted(sizes, reverse=True):
+        total += sizes[b]
+        if total > most:
+            break
+        least = b
+    return counts.where(bin_ >= least if least is not None else F.lit(False)).select("h", "c")
+
+
 def class_scores(docs: DataFrame, types: int = TYPES, endings: int = ENDINGS, classes: int = CLASSES, held: int = HELD) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10 probabilities of the whole text and its end).
@@ -220,9 +235,10 @@ def class_scores(docs: DataFrame, types: int = TYPES, endings: int = ENDINGS, cl
     counts = stored(counts, "counts")
     total, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_docs = train.count()
-    # At most HELD rows reach the driver.
-    top = counts.orderBy(F.desc("c"), "h").limit(held).select("h", "c").toArrow()
+    top = _most_frequent(counts, held).toArrow()
     h, c = top["h"].to_numpy().view(U), top["c"].to_numpy()
+    order = np.lexsort((h, -c))
+    h, c = h[order], c[order]
     first = spark.createDataFrame([(int(x),) for x in h[:types].view(np.int64)], "h long")
     tails = counts.join(F.broadcast(first), "h", "left_anti").groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"))
     # Endings are two bytes and a flag, so their number is bounded; the most frequent are types.
