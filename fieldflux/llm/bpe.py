@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mapped
+from .common import chunks, mapped, worker_cache
 from .words import Words, gathered
 
 VOCABULARY = "word_bpe_49k.json"
@@ -219,7 +219,7 @@ class WordIds:
     Splitting at white space first changes nothing: the vocabulary drops white space, and neither
     its normal form nor its pattern nor a special token looks across it."""
 
-    def __init__(self, encode: Callable, limit: int = 900_000):
+    def __init__(self, encode: Callable, limit: int = 600_000):
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -251,15 +251,12 @@ class WordIds:
         return self.flat[gathered(per_word, start[which])], per_word, which, start, count
 
 
-_held: dict[tuple[str, str], WordIds] = {}
-
-
 def word_ids(path: str, library: bool) -> WordIds:
     """One for each worker."""
-    key = (path, "library" if library else "index")
-    if key not in _held:
-        _held[key] = WordIds((Library if library else Vocabulary)(path).encode_words)
-    return _held[key]
+    held = worker_cache(("bpe", path, library))
+    if "ids" not in held:
+        held["ids"] = WordIds((Library if library else Vocabulary)(path).encode_words)
+    return held["ids"]
 
 
 def _encode(path: str, with_ids: bool):

@@ -21,6 +21,22 @@ __all__ = [
 ]
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch, unless the session says otherwise: rows hold whole texts, and a batch
+#: exists several times over while it goes to Python and back.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS = 1000
+
+
+_held: dict = {}
+
+
+def worker_cache(owner: tuple) -> dict:
+    """What a Python worker remembers between tasks.  Only the latest owner's is kept, so the
+    tables of the operators that a worker has served don't add up."""
+    if owner not in _held:
+        _held.clear()
+        _held[owner] = {}
+    return _held[owner]
 
 
 def ship(spark: SparkSession) -> None:
@@ -137,4 +153,6 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20,
 
 def mapped(df: DataFrame, work: Callable, schema: T.StructType | str) -> DataFrame:
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(BATCH) == "10000":  # Spark's own default
+        df.sparkSession.conf.set(BATCH, str(ROWS))
     return df.mapInArrow(work, schema)

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import chunks, mapped, stored
+from .common import chunks, mapped, stored, worker_cache
 from .words import Words
 
 SAMPLE_DOCS, MOST_WORDS, MOST_GRAMS, LONGEST = 3000, 80_000, 120_000, 4
@@ -140,22 +141,16 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     return Model(langs, np.log(number / number.sum()), w, w_rows, g, g_rows)
 
 
-_scores: dict[str, dict[int, int]] = {}
-_rows: dict[str, np.ndarray] = {}
-MOST_HELD = 500_000
+MOST_HELD = 250_000
 
 
 def _word_scores(model: Model, w: Words) -> tuple[np.ndarray, np.ndarray]:
     """For each different word (scores by language, letters 0 or 1), and the number of each word's."""
-    if model.key not in _scores:
-        _scores.clear()
-        _rows.clear()
-        _scores[model.key], _rows[model.key] = {}, np.empty((0, len(model.langs) + 1))
+    cache = worker_cache(("language", model.key))
     keys, first, which = w.distinct()
-    held = _scores[model.key]
-    if len(held) + len(keys) > MOST_HELD:
-        held.clear()
-        _rows[model.key] = np.empty((0, len(model.langs) + 1))
+    if not cache or len(cache["at"]) + len(keys) > MOST_HELD:
+        cache.update(at={}, rows=np.empty((0, len(model.langs) + 1)))
+    held = cache["at"]
     got = [held.get(k) for k in keys.tolist()]
     new = [i for i, x in enumerate(got) if x is None]
     if new:
@@ -164,12 +159,12 @@ def _word_scores(model: Model, w: Words) -> tuple[np.ndarray, np.ndarray]:
             for part in LETTERS.findall(w.word(first[i]).decode("utf-8").lower()):
                 rows[x, :-1] += model.word(part)
                 rows[x, -1] += 1
-        base = len(_rows[model.key])
+        base = len(cache["rows"])
         held.update(zip(keys[new].tolist(), range(base, base + len(new)), strict=True))
-        _rows[model.key] = np.concatenate([_rows[model.key], rows])
+        cache["rows"] = np.concatenate([cache["rows"], rows])
         for x, i in enumerate(new):
             got[i] = base + x
-    return _rows[model.key][np.array(got, np.int64)], which
+    return cache["rows"][np.array(got, np.int64)], which
 
 
 def _predict(shared):
@@ -231,6 +226,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
                 keep[got.column("at").to_numpy()[good]] = True
             yield b.filter(pa.array(keep))
 
-    from pyspark.sql.types import StructType
-
-    return mapped(docs, work, StructType(fields))
+    return mapped(docs, work, T.StructType(fields))
