@@ -39,6 +39,11 @@ def worker_cache(owner: tuple) -> dict:
     return _held[owner]
 
 
+def forget() -> None:
+    """Called by tasks with nothing of their own to remember: frees what others left."""
+    worker_cache(())
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once for each application."""
     app = spark.sparkContext.applicationId

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, mapped, partitions, stored
+from .common import chunks, components, forget, mapped, partitions, stored
 from .words import RUNS, U, Words, gathered, mix
 
 SHINGLE, LEADERS = 5, 3
@@ -109,6 +109,7 @@ def _describe(k: int, frequent: float, local: int):
     """kind 0: (doc_id, n, digest, sketch) of each row; kind 1: counts of shingles often met."""
 
     def work(batches: Iterator[pa.RecordBatch]):
+        forget()
         for t in chunks(batches, "text"):
             s = Sets(t["text"], k)
             cuts = zip(s.first[:-1].tolist(), s.first[1:].tolist(), strict=True)
@@ -213,7 +214,8 @@ _BLOB = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binar
 
 def _emit(frequent, edges, ranges: int, k: int, leaders: int):
     def work(batches: Iterator[pa.RecordBatch]):
-        for number, t in enumerate(chunks(batches, "text")):
+        forget()
+        for t in chunks(batches, "text"):
             s = Sets(t["text"], k)
             _, docs = np.unique(s.digest, return_index=True)
             docs = docs[s.sizes[docs] > 0]

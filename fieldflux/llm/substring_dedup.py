@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mapped, stored
+from .common import chunks, forget, mapped, stored
 from .words import RUNS, RUNS2, U, Words, sliding
 
 WINDOW, KMER = 50, 8
@@ -84,6 +84,7 @@ def _order(ids: pa.ChunkedArray) -> np.ndarray:
 
 def _anchor_rows(window: int, k: int):
     def work(batches: Iterator[pa.RecordBatch]):
+        forget()
         for t in chunks(batches, "text"):
             g = Graph(t["text"], window, k)
             who = g.owner[g.at]
@@ -131,6 +132,7 @@ def _decide(window: int, k: int, digest: bool):
     """Rows (doc_id, doc, text, paths): what the anchors decide, and the windows they leave open."""
 
     def work(batches: Iterator[pa.RecordBatch]):
+        forget()
         for t in chunks(batches, "text"):
             g = Graph(t["text"], window, k)
             w, n = g.words, len(g.words.starts)
