@@ -1,17 +1,21 @@
 """Perplexity of documents under a class-based bigram model.
 
-Counts cover all training documents: every word's count, and how often each type of word follows
-each other.  A type is one of the TYPES most frequent words, or, for other words, one of the
-ENDINGS most frequent endings, or the rest; a boundary stands before and after each text.  The
-table of type pairs has a fixed size, and exchange clustering on it assigns types to classes:
-each type in turn moves to the class that raises the likelihood of the class bigrams most.
+Counts cover all training documents: every word's count, and how often each word follows each
+other; a boundary stands before and after each text.  Exchange clustering assigns every word of
+the training vocabulary to a class: a word moves to the class that raises the likelihood of the
+class bigrams most.  It starts from classes of types, made on the driver: a type is one of the TYPES
+most frequent words, or, for other words, one of the ENDINGS most frequent endings, or the rest.
+Then all words move in BATCHES, each by its own neighbours: their counts are joined to the current
+classes in Spark, and only the table of class pairs, of a fixed size, is broadcast.  A word moves if
+it gains more than the log of the number of classes, which is what naming its class takes; without
+that, words seen once or twice follow chance.  A batch that doesn't raise the likelihood is taken back.  Endings class only words that training hasn't seen.
 
     P(w | v) = P(class(w) | class(v)) * P(w | class(w))
 
 Class transitions are smoothed by the classes' own shares, emissions by one for each known word
-and one for an unknown word of the class.  Both scores need the count of each token.  Counts of
-the HELD most frequent words are broadcast; those of other words come by a join, from each
-document's different rare words, so the vocabulary may grow without a bound.
+and one for an unknown word of the class.  Both scores need the count of each token.  Counts and
+classes of the HELD most frequent words are broadcast; those of other words come by a join, from
+each document's different rare words, so the vocabulary may grow without a bound.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from .common import chunks, mapped, stored
 from .words import U, Words
 
 TYPES, ENDINGS, CLASSES, ROUNDS, HELD = 1000, 300, 48, 8, 1 << 19
+BATCHES = 2  # of words that move together
+BOUNDARY = -1  # the boundary among hashes of words
 PRIOR = 20.0  # weight of the classes' own shares in a transition
 
 
@@ -62,7 +68,7 @@ class Lexicon:
     type_of: np.ndarray  # -1: by its ending
     endings: np.ndarray
     ending_type: np.ndarray
-    n_types: int  # the last one is the boundary, the one before it the rest
+    rest: int  # type of words of other endings
 
     def look(self, keys: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(type, count) of different words; count -1 where it isn't held."""
@@ -72,7 +78,7 @@ class Lexicon:
             hit = self.h[at] == keys
             count[hit], kind[hit] = self.count[at[hit]], self.type_of[at[hit]]
         left = np.flatnonzero(kind < 0)
-        kind[left] = self.n_types - 2
+        kind[left] = self.rest
         if len(self.endings):
             at = np.minimum(np.searchsorted(self.endings, ending[left]), len(self.endings) - 1)
             hit = self.endings[at] == ending[left]
@@ -95,7 +101,7 @@ def _transitions(w: Words, types: np.ndarray, boundary: int) -> tuple[np.ndarray
 def _count_pairs(shared):
     def work(batches: Iterator[pa.RecordBatch]):
         lex: Lexicon = shared.value
-        n = lex.n_types
+        n = lex.rest + 2  # the last type is the boundary
         total = np.zeros(n * n, np.int64)
         for t in chunks(batches, "text", 8 << 20):
             w = Words(t["text"], lower=True)
@@ -169,7 +175,11 @@ def _class_model(pairs: np.ndarray, sums: np.ndarray, kinds: np.ndarray, classes
     k = int(of.max()) + 1
     one = np.zeros((len(of), k))
     one[np.arange(len(of)), of] = 1
-    table = one.T @ pairs @ one
+    return _smoothed(one.T @ pairs @ one, of, sums, kinds)
+
+
+def _smoothed(table: np.ndarray, of: np.ndarray, sums: np.ndarray, kinds: np.ndarray) -> ClassModel:
+    k = len(table)
     share = (table.sum(axis=0) + 1) / (table.sum() + k)
     steps = (table + PRIOR * share) / (table.sum(axis=1, keepdims=True) + PRIOR)
     spread = np.log10(np.bincount(of, sums, k) + np.bincount(of, kinds, k) + 1)
@@ -177,33 +187,231 @@ def _class_model(pairs: np.ndarray, sums: np.ndarray, kinds: np.ndarray, classes
     return ClassModel(of, np.log10(steps), spread)
 
 
+def _count_neighbours(batches: Iterator[pa.RecordBatch]):
+    """How often words follow each other, the boundary before and after each text included."""
+    for t in chunks(batches, "text", 16 << 20):
+        w = Words(t["text"], lower=True)
+        keys, _, which = w.distinct()
+        m = len(keys) + 1
+        before, to, _ = _transitions(w, which, m - 1)
+        pair, n = np.unique(before * m + to, return_counts=True)
+        ids = np.append(keys.view(np.int64), BOUNDARY)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[pair // m]), pa.array(ids[pair % m]), pa.array(n)], ["a", "b", "n"])
+
+
+def _first_classes(shared):
+    def work(batches: Iterator[pa.RecordBatch]):
+        lex, of = shared.value
+        for t in batches:
+            kind, count = lex.look(t.column("h").to_numpy().view(U), t.column("ending").to_numpy())
+            yield pa.RecordBatch.from_arrays([t.column("h"), pa.array(of[kind].astype(np.int32)), pa.array(count >= 0)], ["h", "cls", "held"])
+
+    return work
+
+
+def _by_class(neighbours: DataFrame, classes: DataFrame, k: int, all_held: bool) -> DataFrame:
+    """(w, seen): each word's own class (code -1) and its neighbours by class: code c is the class of
+    words after it, k + 1 + c of words before it, 2k + 2 the word itself.
+
+    2k + 4 codes at most, so a row has a fixed size.  Classes of the most frequent words are broadcast."""
+    spark = neighbours.sparkSession
+    sides = neighbours.select(
+        F.inline(F.array(
+            F.struct(F.col("a").alias("w"), F.col("b").alias("v"), F.when(F.expr("a = b"), 2 * k + 2).otherwise(0).alias("side"), "n"),
+            F.struct(F.col("b").alias("w"), F.col("a").alias("v"), F.when(F.expr("a = b"), None).otherwise(k + 1).alias("side"), "n"),
+        ))
+    ).where("side is not null")
+    edge = spark.createDataFrame([(BOUNDARY, k, True)], "h long, cls int, held boolean")
+    classes = classes.union(edge)
+    held = classes.where("held").select(F.col("h").alias("v"), "cls")
+    met = sides.join(F.broadcast(held), "v", "inner" if all_held else "left")
+    if not all_held:
+        others = classes.where("not held").select(F.col("h").alias("v"), "cls")
+        met = met.where("cls is not null").unionByName(met.where("cls is null").drop("cls").join(others, "v"))
+    code = F.when(F.col("side") == 2 * k + 2, F.col("side")).otherwise(F.col("side") + F.col("cls")).alias("code")
+    sums = met.select("w", code, "n").groupBy("w", "code").agg(F.sum("n").alias("n"))
+    own = classes.select(F.col("h").alias("w"), F.lit(-1).alias("code"), (F.col("cls") * 2 + F.col("held").cast("int")).cast("long").alias("n"))
+    return sums.unionByName(own).groupBy("w").agg(F.collect_list(F.struct("code", "n")).alias("seen"))
+
+
+def _unpacked(batch: pa.RecordBatch, k: int):
+    """(w, own class, held, right, left, self): words and their neighbours by class, dense."""
+    seen = batch.column("seen")
+    row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(seen).to_numpy(zero_copy_only=False))
+    code, n = (x.to_numpy(zero_copy_only=False) for x in seen.flatten().flatten())
+    dense = np.zeros((batch.num_rows, 2 * k + 4))
+    dense[row, code + 1] = n
+    own = dense[:, 0].astype(np.int64)
+    return batch.column("w").to_numpy(), own >> 1, (own & 1) > 0, dense[:, 1 : k + 2], dense[:, k + 2 : 2 * k + 3], dense[:, 2 * k + 3]
+
+
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def _class_pairs(k: int):
+    def work(batches: Iterator[pa.RecordBatch]):
+        total = np.zeros((k + 1, k + 1))
+        for batch in _small(batches):
+            _, own, _, right, _, self_ = _unpacked(batch, k)
+            np.add.at(total, own, right)
+            np.add.at(total, (own, own), self_)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at].astype(np.int64))], ["pair", "n"])
+
+    return work
+
+
+def _g(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Log-likelihood of the class bigrams, up to what no move changes."""
+    return float(_g(table).sum() - _g(table.sum(axis=0)).sum() - _g(table.sum(axis=1)).sum())
+
+
+def best_classes(table: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.ndarray, self_: np.ndarray, least: float = 1e-9) -> np.ndarray:
+    """The class that each word would move to, the others being where the table has them; the
+    gains are those of `exchange`.  A word moves if it gains more than `least`."""
+    k, n = len(table) - 1, len(own)
+    all_, d = np.arange(n), np.arange(k)
+    gain = np.zeros((n, k))
+    for of, mine, other in ((table, right, left), (table.T, left, right)):
+        # Only classes that a word has neighbours of change a cell.
+        w, c = np.nonzero(mine)
+        for i in range(0, len(w), 1 << 15):
+            word, cls = w[i : i + (1 << 15)], c[i : i + (1 << 15)]
+            x = mine[word, cls]
+            cells = of.T[cls].copy()  # [of d to cls] for all d, without the word's own part
+            place = np.arange(len(word))
+            cells[place, own[word]] -= x
+            same = np.flatnonzero(cls == own[word])
+            cells[same] -= other[word[same]]
+            cells[same, own[word[same]]] -= self_[word[same]]
+            cells = cells[:, :k]
+            more = _g(cells + x[:, None]) - _g(cells)
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            gain[word[starts]] += np.add.reduceat(more, starts)
+    cell = np.repeat(np.diag(table)[None, :k], n, axis=0)
+    cell[all_, own] -= right[all_, own] + left[all_, own] + self_
+    r, l = right[:, :k], left[:, :k]  # noqa: E741
+    gain += _g(cell + r + l + self_[:, None]) - _g(cell + r) - _g(cell + l) + _g(cell)
+    for sums, mine in ((table.sum(axis=1), right), (table.sum(axis=0), left)):
+        total = (mine.sum(axis=1) + self_)[:, None]
+        rest = np.repeat(sums[None, :k], n, axis=0)
+        rest[all_, own] -= total[:, 0]
+        gain -= _g(rest + total) - _g(rest)
+    best = gain.argmax(axis=1)
+    return np.where(gain[all_, best] > gain[all_, own] + least, best, own)
+
+
+def _move(shared, k: int, batch_no: int, of: int):
+    def work(batches: Iterator[pa.RecordBatch]):
+        table = shared.value
+        for batch in _small(batches):
+            w, own, held, right, left, self_ = _unpacked(batch, k)
+            turn = np.flatnonzero((w.view(U) % U(of) == U(batch_no)) & (own < k))
+            own[turn] = best_classes(table, own[turn], right[turn], left[turn], self_[turn], np.log(k) + 1e-9)
+            word = own < k
+            yield pa.RecordBatch.from_arrays([pa.array(w[word]), pa.array(own[word].astype(np.int32)), pa.array(held[word])], ["h", "cls", "held"])
+
+    return work
+
+
+def cluster(neighbours: DataFrame, classes: DataFrame, k: int, all_held: bool, batches: int = BATCHES) -> tuple[DataFrame, np.ndarray]:
+    """(classes, table of class pairs) after the words of each batch have moved.
+
+    neighbours: a, b, n; classes: h, cls, held of every word of them but the boundary."""
+    sc = neighbours.sparkSession.sparkContext
+    kept, best = None, None
+    for i in range(batches + 1):
+        seen = stored(_by_class(neighbours, classes, k, all_held), "by-class")
+        cells = mapped(seen, _class_pairs(k), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+        table = np.zeros((k + 1) * (k + 1))
+        table[cells["pair"].to_numpy()] = cells["n"].to_numpy()
+        table = table.reshape(k + 1, k + 1)
+        if best is not None and likelihood(table) <= likelihood(best):
+            # Together the moves took back what each alone would give; the next batch starts before them.
+            classes, table = kept, best
+            if i < batches:
+                seen = stored(_by_class(neighbours, classes, k, all_held), "by-class")
+        kept, best = classes, table
+        if i < batches:
+            classes = stored(mapped(seen, _move(sc.broadcast(table), k, i, batches), "h long, cls int, held boolean"), "classes")
+    return kept, best
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each entry, entries) of a column of lists, nulls as empty ones."""
+    n = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), n), column.flatten().to_numpy(zero_copy_only=False)
+
+
 def _score(shared):
     def work(batches: Iterator[pa.RecordBatch]):
         lex, model = shared.value
         for t in chunks(batches, "text"):
             w = Words(t["text"], lower=True)
             keys, ending, which = _distinct(w)
+            m = len(keys)
             kind, count = lex.look(keys, ending)
-            a, b, text = _transitions(w, model.class_of[kind[which]] if len(which) else which, int(model.class_of[-1]))
-            step = np.bincount(text, model.steps[a, b] - model.spread[b], w.n)
+            a, b, text = _transitions(w, which, m)
+            cls, open_ = np.append(kind, model.class_of[-1]), np.append(count < 0, False)
+            later = open_[a] | open_[b]  # a class comes by the join
+            step = np.where(later, 0.0, model.steps[cls[a], cls[b]] - model.spread[cls[b]])
             owner = w.owners()
             held = count[which] >= 0
             logs = np.log10(np.maximum(count, 0) + 1.0)[which]
-            pairs, times = np.unique(owner[~held] * max(1, len(keys)) + which[~held], return_counts=True)
-            row, word = pairs // max(1, len(keys)), pairs % max(1, len(keys))
+            pairs, times = np.unique(owner[~held] * max(1, m) + which[~held], return_counts=True)
+            row, word = pairs // max(1, m), pairs % max(1, m)
             cut = np.searchsorted(row, np.arange(w.n + 1)).astype(np.int32)
+            owner_later = text[later]
+
+            def side(x):
+                """The place among the row's rare words, or -1 - class."""
+                place = np.searchsorted(pairs, owner_later * max(1, m) + x) - cut[owner_later]
+                return pa.ListArray.from_arrays(steps_cut, np.where(open_[x], place, -1 - cls[x]).astype(np.int32))
+
+            steps_cut = np.searchsorted(owner_later, np.arange(w.n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     t["doc_id"].combine_chunks(), t["held_out"].combine_chunks(), pa.array(w.counts.astype(np.int64)),
-                    pa.array(np.bincount(owner, held & (count[which] > 0), w.n).astype(np.int64)), pa.array(np.bincount(owner, logs * held, w.n).astype(float)), pa.array(step.astype(float)),
+                    pa.array(np.bincount(owner, held & (count[which] > 0), w.n).astype(np.int64)), pa.array(np.bincount(owner, logs * held, w.n).astype(float)),
+                    pa.array(np.bincount(text, step, w.n).astype(float)),
                     pa.ListArray.from_arrays(cut, keys[word].view(np.int64)), pa.ListArray.from_arrays(cut, times.astype(np.int32)),
+                    pa.ListArray.from_arrays(cut, kind[word].astype(np.int32)), side(a[later]), side(b[later]),
                 ],
-                ["doc_id", "held_out", "words", "known", "logs", "step", "rare", "times"],
+                ["doc_id", "held_out", "words", "known", "logs", "step", "rare", "times", "guess", "before", "after"],
             )
 
     return work
 
 
+def _later_steps(shared):
+    """Adds the steps from or to rare words, whose classes are known by now: `found` has place * 2^16 + class."""
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        model = shared.value
+        for t in batches:
+            row, cls = _lists(t.column("guess"))
+            first, cls = np.searchsorted(row, np.arange(t.num_rows)), cls.copy()
+            at, found = _lists(t.column("found"))
+            cls[first[at] + (found >> 16)] = found & 0xFFFF
+            row, a = _lists(t.column("before"))
+            _, b = _lists(t.column("after"))
+            cls = np.append(cls, 0)
+            a, b = (np.where(x < 0, -1 - x, cls[first[row] + np.maximum(x, 0)]) for x in (a, b))
+            more = np.bincount(row, model.steps[a, b] - model.spread[b], t.num_rows)
+            step = pa.array(t.column("step").to_numpy() + more)
+            names = ["doc_id", "held_out", "words", "known", "logs", "more_logs", "more_known"]
+            yield pa.RecordBatch.from_arrays([*[t.column(c) for c in names], step], [*names, "step"])
+
+    return work
+
+
 def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
     """(h, c) of the most frequent words, `most` at most: those above a count that a histogram of
     a few thousand bins gives, so nothing is sorted and no task sees more than its own words."""
@@ -251,29 +459,50 @@ def class_scores(docs: DataFrame, types: int = TYPES, endings: int = ENDINGS, cl
     kinds[:k] = np.arange(k)
     by_ending = sorted((r["ending"], k + i) for i, r in enumerate(named))
     lex = Lexicon(
-        h[order], c[order], kinds[order], np.array([e for e, _ in by_ending], np.int64), np.array([i for _, i in by_ending], np.int64), n_types
+        h[order], c[order], kinds[order], np.array([e for e, _ in by_ending], np.int64), np.array([i for _, i in by_ending], np.int64), n_types - 2
     )
     shared = sc.broadcast(lex)
     cells = mapped(train, _count_pairs(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(n_types * n_types, np.int64)  # at most (types + endings + 2)^2 cells
     pairs[cells["pair"].to_numpy()] = cells["n"].to_numpy()
-    sums = np.array([*c[:k], *[r["c"] for r in named], rest[0] - sum(r["c"] for r in named), n_docs], float)
-    kinds_of = np.array([*[1] * k, *[r["v"] for r in named], rest[1] - sum(r["v"] for r in named), 1], float)
-    model = _class_model(pairs.reshape(n_types, n_types), sums, kinds_of, classes)
+    of = exchange(pairs.reshape(n_types, n_types), classes)
+    k = int(of[-1])
+    placed = stored(mapped(counts.select("h", "ending"), _first_classes(sc.broadcast((lex, of))), "h long, cls int, held boolean"), "classes")
+    neighbours = mapped(train, _count_neighbours, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    placed, table = cluster(stored(neighbours, "neighbours"), placed, k, len(h) == words)
+    placed = stored(counts.join(placed, "h"), "lexicon")
+    sums, kinds_of = np.zeros(k + 1), np.zeros(k + 1)
+    for r in placed.groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
+        sums[r["cls"]], kinds_of[r["cls"]] = r["c"], r["v"]
+    model = _smoothed(table, np.arange(k + 1), sums, kinds_of)
+    # An unseen word is of the class that most words of its ending are in, or else most words.
+    tails = placed.groupBy("ending", "cls").agg(F.count(F.lit(1)).alias("v")).groupBy("ending")
+    tails = sorted(map(tuple, tails.agg(F.max_by("cls", F.struct("v", -F.col("cls"))).alias("cls")).collect()))
+    top = placed.where("held").select("h", "c", "cls").toArrow()
+    h, c, kinds = top["h"].to_numpy().view(U), top["c"].to_numpy(), top["cls"].to_numpy()
+    order = np.argsort(h)
+    lex = Lexicon(h[order], c[order], kinds[order], np.array([e for e, _ in tails], np.int64), np.array([i for _, i in tails], np.int64), int(kinds_of[:k].argmax()))
     both = sc.broadcast((lex, model))
     id_type = base.schema["doc_id"].dataType.simpleString()
     scored = mapped(
-        base, _score(both), f"doc_id {id_type}, held_out boolean, words long, known long, logs double, step double, rare array<long>, times array<int>"
+        base, _score(both), f"doc_id {id_type}, held_out boolean, words long, known long, logs double, step double, rare array<long>, times array<int>, "
+        "guess array<int>, before array<int>, after array<int>"
     )
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
-    rare = rare.join(counts.select("h", "c"), "h").groupBy("row").agg(
-        F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_logs"), F.sum("n").alias("more_known")
+    rare = scored.select("row", F.posexplode(F.arrays_zip("rare", "times")).alias("place", "x"))
+    rare = rare.select("row", "place", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
+    rare = rare.join(placed.select("h", "c", "cls"), "h").groupBy("row").agg(
+        F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_logs"), F.sum("n").alias("more_known"),
+        F.collect_list(F.col("place").cast("long") * 65536 + F.col("cls")).alias("found"),
     )
     n, v = total + n_docs, words + (1 if n_docs else 0)
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
     n_tokens = F.col("words") + 1
-    return scored.drop("rare", "times").join(rare, "row", "left").select(
+    scored = mapped(
+        scored.drop("rare", "times").join(rare, "row", "left"), _later_steps(sc.broadcast(model)),
+        f"doc_id {id_type}, held_out boolean, words long, known long, logs double, more_logs double, more_known long, step double",
+    )
+    return scored.select(
         "doc_id", "held_out", n_tokens.alias("n_tokens"),
         (F.col("known") + F.coalesce("more_known", F.lit(0)) + F.lit(1 if n_docs else 0)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),

@@ -378,3 +378,35 @@ def test_model_is_a_distribution():
         own = np.flatnonzero(model.class_of == c)
         # Each known word (count + 1) and one unknown.
         assert math.isclose((counts[own].sum() + len(own) + 1) / 10 ** model.spread[c], 1)
+
+
+def clusters(pairs, of, k):
+    one = np.zeros((len(of), k + 1))
+    one[np.arange(len(of)), of] = 1
+    return one.T @ pairs @ one
+
+
+def test_best_classes_raise_the_likelihood_most():
+    rnd = np.random.default_rng(10)
+    n, k = 30, 4
+    pairs, of = rnd.integers(0, 4, (n, n)) * rnd.integers(0, 2, (n, n)), rnd.integers(0, k, n)
+    of[-1] = k
+    apart = pairs * (1 - np.eye(n, dtype=int))
+    right, left = (np.array([np.bincount(of, x, k + 1) for x in m]) for m in (apart, apart.T))
+    got = lm_scoring.best_classes(clusters(pairs, of, k), of[:-1], right[:-1], left[:-1], np.diag(pairs)[:-1].astype(float))
+    for w in range(n - 1):
+        value = [lm_scoring.likelihood(clusters(pairs, np.where(np.arange(n) == w, d, of), k)) for d in range(k)]
+        assert math.isclose(value[got[w]], max(value), rel_tol=1e-12)
+
+
+@pytest.mark.parametrize("held", [1 << 19, 300])
+def test_rare_words_have_classes_of_their_own(spark, held):
+    """Two kinds of words take turns, all of one ending, most beyond the most frequent types."""
+    rnd = random.Random(11)
+    kinds = [[f"{s}{i}xx" for i in range(400)] for s in "pq"]
+    docs = [" ".join(rnd.choice(kinds[j % 2]) for j in range(40)) for _ in range(600)]
+    turns, mixed = docs[0], " ".join([*docs[0].split()[::2], *docs[0].split()[1::2]])
+    rows = [(i, t) for i, t in enumerate(docs)] + [(None, turns), (None, mixed)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r.score for r in lm_scoring.class_scores(df, types=40, endings=10, classes=4, held=held).collect() if r.doc_id is None)
+    assert got[1] - got[0] > 5
