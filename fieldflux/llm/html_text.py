@@ -1,12 +1,17 @@
 """Main text of web pages by their line-block distribution.
 
-A page is read once from the left.  Markup is stripped and the text falls into lines, one for each
+A page is read from the left.  Markup is stripped and the text falls into lines, one for each
 block element.  Lines in menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments have the length 0 and no text; so have, in a page with an article,
-lines outside it.  Over the lengths slides a window of a few lines.  Where its sum rises from
-nothing is a surge point, where it falls back to nothing a dive point, and the text between them
-is kept, the shortest lines included.  Without an article there may be several such stretches,
-and mostly linked lines have the length 0 too: the stretches near the longest one in length stay.
+styles and reader comments have the length 0 and no text; mostly linked lines outside an article
+have the length 0.  Over the lengths slides a window of a few lines.  Where its sum rises from
+nothing, or an article begins, is a surge point, where it falls back to nothing, or the article
+ends, a dive point, and the text between them is a stretch, its shortest lines included.
+
+The stretches of one article, and those outside of articles, belong together.  The main stretch is
+the longest one, a character in an article counting ARTICLE times.  The other stretches stay if they
+are in its article, or if their lines are long enough compared with its lines: DENSE of them where
+both are outside of articles, ALIKE where they are not.  A mostly linked line beside a stretch that
+stays is kept if it is as long as a line alike.
 """
 
 from __future__ import annotations
@@ -21,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import chunks, mapped
 
-#: Lines in a window, and the share of the longest stretch that another needs where no article is marked.
-LINES, SHARE = 3, 0.25
+#: Lines in a window, what a character in an article counts, and the share of the main stretch's mean line that another's needs.
+LINES, ARTICLE, DENSE, ALIKE = 3, 4, 0.25, 0.6
 TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[a-zA-Z/!?](?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+>|<[a-zA-Z/!?][^<>]*>|[^<]+|<", re.S)
 NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
@@ -42,6 +47,12 @@ WORDS = frozenset(
     "notice sidebar menu menubar nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus share sharing social "
     "related newsletter subscribe popup modal overlay login signup search toolbar".split()
 )
+#: Words beside those in a name of the same kind: comment-list is one, but not has-sidebar or related-work.
+BESIDE = frozenset(
+    "area article articles bar block body bottom box btn button buttons card center col column container content form global group head "
+    "header icons inner item items left link links list main outer page panel post posts primary right row secondary section site slot "
+    "stories sub text title top unit widget widgets wrap wrapper".split()
+)
 KEEP = frozenset("html body main article".split())
 COMMENTS = frozenset("comment comments".split())
 
@@ -59,37 +70,45 @@ def _zone(tag: str, name: str, in_article: bool) -> bool:
         if key == "role" and value.lower() in ROLES:
             return name not in KEEP
         if key in ("class", "id"):
-            words = {w.lower() for w in PARTS.findall(value)}
-            if name in KEEP:
-                if name == "article" and words & COMMENTS:
+            # Each name as a whole: all its words are of the kind, or stand beside one.
+            for value_ in value.split():
+                words = {w.lower() for w in PARTS.findall(value_)}
+                if name in KEEP:
+                    if name == "article" and words & COMMENTS and words <= WORDS | BESIDE:
+                        return True
+                elif words <= WORDS | BESIDE and (words & WORDS or ("header" in words and not in_article)):
                     return True
-            elif words & WORDS or ("header" in words and not in_article):
-                return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length without links, inside an article) of each line; ('', 0, ..) for a left out one."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str, shown: frozenset[int] = frozenset()) -> tuple[list[tuple[str, int, int]], dict[int, int]]:
+    """((text, length without links, number of the article or 0) of each line, text lengths of left out
+    elements by place); a left out element is the line ('', 0, ..).  Those in `shown` are not left out."""
+    out: list[tuple[str, int, int]] = []
+    left: dict[int, int] = {}
     parts: list[str] = []
-    linked = at = article = depth = link = 0
+    linked = at = article = depth = link = number = begin = 0
     skip = ""
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, 0 if 2 * linked > len(text) else len(text), article > 0))
+            out.append((text, 0 if 2 * linked > len(text) and not article else len(text), number if article else 0))
         parts.clear()
         linked = 0
 
     size = len(page)
     while at < size:
         m = TOKEN.match(page, at)
-        at, token = m.end(), m[0]
+        place, at, token = at, m.end(), m[0]
         n = NAME.match(token) if token[0] == "<" else None
         if n is None:
-            if not skip and not token.startswith(("<!", "<?", "</")):
+            if token.startswith(("<!", "<?", "</")):
+                continue
+            if skip:
+                left[begin] += len(token.strip())
+            else:
                 text = entities.unescape(token)
                 parts.append(text)
                 linked += len(text) if link else 0
@@ -105,11 +124,12 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 depth += -1 if close else 1
                 if not depth:
                     skip = ""
-                    out.append(("", 0, article > 0))
+                    out.append(("", 0, number if article else 0))
             continue
-        if not close and not token.endswith("/>") and _zone(token, name, article > 0):
+        if not close and not token.endswith("/>") and place not in shown and _zone(token, name, article > 0):
             flush()
-            skip, depth = name, 1
+            skip, depth, begin = name, 1, place
+            left[place] = 0
         elif name == "br":
             parts.append(" ")
         elif name == "a":
@@ -118,9 +138,10 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             flush()
             link = 0
             if name == "article":
+                number += not close and not article
                 article = max(0, article + (-1 if close else 1))
     flush()
-    return out
+    return out, left
 
 
 def stretches(lengths: list[int], window: int = LINES) -> list[tuple[int, int]]:
@@ -136,31 +157,63 @@ def stretches(lengths: list[int], window: int = LINES) -> list[tuple[int, int]]:
     return out
 
 
-def main_text(page: str, window: int = LINES, share: float = SHARE) -> str:
-    found = lines(page)
-    if any(inside and text for text, _, inside in found):
-        lengths = [len(text) if inside else 0 for text, _, inside in found]
-        least = 0.0
-    else:
-        lengths = [n for _, n, _ in found]
-        least = share
-    spans = stretches(lengths, window)
-    weight = [sum(lengths[a:b]) for a, b in spans]
-    inside = least == 0.0
-    kept = [
-        text
-        for (a, b), w in zip(spans, weight, strict=True)
-        if w >= least * max(weight)
-        for text, _, own in found[a:b]
-        if text and (own or not inside)
-    ]
-    return "\n".join(kept)
-
-
-def _extract(window: int, share: float):
+def _lines_of(page: str) -> list[tuple[str, int, int]]:
+    """The page's lines.  Without text in an article, an element that is named like a menu or an advert,
+    but holds most of the page's text, is not left out."""
+    shown: frozenset[int] = frozenset()
+    while True:
+        found, left = lines(page, shown)
+        if any(number for text, _, number in found if text):
+            return found
+        most = 0.5 * (sum(len(text) for text, _, _ in found) + sum(left.values()))
+        large = {at for at, n in left.items() if n > most and _by_name(page, at)}
+        if not large:
+            return found
+        shown |= large
+
+
+def _by_name(page: str, at: int) -> bool:
+    """Is the element left out for its class or id alone, and not as readers' comments?"""
+    tag = TOKEN.match(page, at)[0]
+    name = NAME.match(tag)[2].lower()
+    named = " ".join(a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(tag, len(name) + 1) if a[1].lower() in ("class", "id"))
+    other = ATTRIBUTE.sub(lambda a: "" if a[1].lower() in ("class", "id") else a[0], tag)
+    return not _zone(other, name, False) and not COMMENTS & {w.lower() for w in PARTS.findall(named)}
+
+
+def main_text(page: str, window: int = LINES) -> str:
+    found = _lines_of(page)
+    spans = []
+    start = 0
+    for i in range(1, len(found) + 1):
+        if i == len(found) or found[i][2] != found[start][2]:
+            spans += [(start + a, start + b) for a, b in stretches([n for _, n, _ in found[start:i]], window)]
+            start = i
+    if not spans:
+        return ""
+    size = [sum(n for _, n, _ in found[a:b]) for a, b in spans]
+    mean = [n / sum(1 for x in found[a:b] if x[1]) for n, (a, b) in zip(size, spans, strict=True)]
+    number = [found[a][2] for a, _ in spans]
+    main = max(range(len(spans)), key=lambda i: size[i] * (ARTICLE if number[i] else 1))
+    keep = [False] * len(found)
+    for i, (a, b) in enumerate(spans):
+        if number[i] == number[main]:
+            stays = number[i] > 0 or mean[i] >= DENSE * mean[main]
+        else:
+            stays = mean[i] >= ALIKE * mean[main]
+        if stays:
+            keep[a:b] = [True] * (b - a)
+            while a and not found[a - 1][1] and len(found[a - 1][0]) >= ALIKE * mean[main]:
+                keep[a := a - 1] = True
+            while b < len(found) and not found[b][1] and len(found[b][0]) >= ALIKE * mean[main]:
+                keep[b], b = True, b + 1
+    return "\n".join(text for (text, _, _), k in zip(found, keep, strict=True) if k and text)
+
+
+def _extract(window: int):
     def work(batches: Iterator[pa.RecordBatch]):
         for t in chunks(batches, "html"):
-            text = [main_text(x or "", window, share) for x in t["html"].to_pylist()]
+            text = [main_text(x or "", window) for x in t["html"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [t["page_id"].combine_chunks(), t["url"].combine_chunks(), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
@@ -169,7 +222,7 @@ def _extract(window: int, share: float):
     return work
 
 
-def extract(pages: DataFrame, window: int = LINES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, window: int = LINES) -> DataFrame:
     """One row for each row of pages: page_id, url, text, n_chars.
 
     Null and empty html, and pages without main text, have the empty text.  Pages are worked on
@@ -177,4 +230,4 @@ def extract(pages: DataFrame, window: int = LINES, share: float = SHARE) -> Data
     rows; other columns are not read.  A line break inside a block is white space of it."""
     base = pages.select("page_id", "url", "html")
     kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
-    return mapped(base, _extract(window, share), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return mapped(base, _extract(window), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

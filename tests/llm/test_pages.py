@@ -31,6 +31,17 @@ def test_page_without_article():
     assert html_text.main_text(page).split("\n") == [*[f"Paragraph {i} has some text to read." for i in range(5)], "Ok."]
 
 
+LONG = "".join(f"<p>Paragraph {i} of the main text says what the page is about.</p>" for i in range(8))
+
+
+def test_teasers_in_articles_do_not_replace_the_text():
+    """Whether the text is in an article or not, the lengths choose it."""
+    teasers = "".join(f"<article class=card><h3>Teaser {i}</h3><p>More on it</p></article>" for i in range(4))
+    for tag in ("main", "div", "article"):
+        got = html_text.main_text(f"<body><{tag}>{LONG}</{tag}>{teasers}</body>").split("\n")
+        assert len(got) == 8 and got[0].startswith("Paragraph 0") and got[-1].startswith("Paragraph 7")
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<", "<p", "<!-- open", "<script>x", "<nav>a", "</p></div>", "<a <b <c", "&", "<article></article>"])
 def test_odd_pages(page):
     assert html_text.main_text(page) in ("", "<", "&", "<p", "<a <b <c")
