@@ -42,6 +42,19 @@ def test_teasers_in_articles_do_not_replace_the_text():
         assert len(got) == 8 and got[0].startswith("Paragraph 0") and got[-1].startswith("Paragraph 7")
 
 
+def test_text_at_edges_and_under_names_that_sound_like_menus():
+    gap = "<div class=ad>Buy</div>" * 4
+    end = "<p>That is all for today.</p>"
+    assert html_text.main_text(f"<div>{LONG}</div>{gap}{end}").endswith("\nThat is all for today.")
+    for name in ("layout has-sidebar", "no-sidebar", "sidebar"):
+        assert html_text.main_text(f"<div class='{name}'>{LONG}</div>").count("\n") == 7
+    inner = "<h2 id=related-work>Related work</h2><section id=search-methods><p>We search.</p></section><div class=share-price>It rose.</div>"
+    assert html_text.main_text(f"<article>{LONG}{inner}</article>").endswith("\nRelated work\nWe search.\nIt rose.")
+    linked = "<p><a href=1>The whole report of the agency is to be had here</a></p>"
+    assert html_text.main_text(f"<div>{LONG}{linked}</div>").endswith("to be had here")
+    assert html_text.main_text(f"<div class=sidebar>Side</div><div>{LONG}</div><div class='comment-list'>{LONG * 3}</div>").count("\n") == 7
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<", "<p", "<!-- open", "<script>x", "<nav>a", "</p></div>", "<a <b <c", "&", "<article></article>"])
 def test_odd_pages(page):
     assert html_text.main_text(page) in ("", "<", "&", "<p", "<a <b <c")
