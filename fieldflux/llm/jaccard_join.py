@@ -106,7 +106,7 @@ def hamming(a: bytes, b: bytes) -> int:
 
 
 def _describe(k: int, frequent: float, local: int):
-    """kind 0: (doc_id, n, digest, sketch) of each row; kind 1: counts of shingles often met."""
+    """kind 0: (doc_id, n, digest, sketch, hash of the text) of each row; kind 1: counts of shingles often met."""
 
     def work(batches: Iterator[pa.RecordBatch]):
         forget()
@@ -130,8 +130,9 @@ def _describe(k: int, frequent: float, local: int):
                     pa.array(np.concatenate([s.digest, got]).view(np.int64)),
                     pa.array([*sketch, *[None] * len(got)], pa.binary()),
                     pa.array([*short, *[None] * len(got)], pa.list_(pa.int64())),
+                    pa.concat_arrays([t["digest"].combine_chunks().cast(pa.string()), pa.nulls(len(got), pa.string())]),
                 ],
-                ["kind", "doc_id", "n", "id", "sketch", "short"],
+                ["kind", "doc_id", "n", "id", "sketch", "short", "digest"],
             )
 
     return work
@@ -364,11 +365,22 @@ def near_duplicates(
     component_id is the smallest doc_id that links reach.  A null doc_id is passed over in that
     minimum (and a component of nothing else has null); a repeated doc_id is a row of its own.
     An empty table gives no rows; other columns are not read."""
+    plain = docs.select("doc_id", "text", F.lit(None).cast("string").alias("digest"))
+    placed = _placed(plain, k, leaders, frequent_share, local)
+    first = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    filled = placed.where("n > 0").join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    empty = placed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return filled.union(empty)
+
+
+def _placed(docs: DataFrame, k: int, leaders: int = LEADERS, frequent_share: float = FREQUENT, local: int = LOCAL) -> DataFrame:
+    """(doc_id, n, digest, root) for each row of docs (doc_id, text, digest): its number of shingles, and
+    a set that stands for its component."""
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "digest")
     texts = base.select("text")
-    about = stored(mapped(base, _describe(k, frequent_share, local), "kind int, doc_id long, n long, id long, sketch binary, short array<long>"), "sets")
-    rows = about.where("kind = 0").select("doc_id", "n", "id", "sketch", "short")
+    about = stored(mapped(base, _describe(k, frequent_share, local), "kind int, doc_id long, n long, id long, sketch binary, short array<long>, digest string"), "sets")
+    rows = about.where("kind = 0").select("doc_id", "n", "id", "sketch", "short", "digest")
     count, largest = rows.agg(F.count(F.lit(1)), F.max("n")).first()
     frequent = about.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8 * local, frequent_share * count))
     frequent = frequent.orderBy(F.desc("n")).limit(MOST_FREQUENT).select("id").toArrow()["id"].to_numpy()
@@ -416,18 +428,22 @@ def near_duplicates(
         if not more.isEmpty():
             links = links.union(more)
             roots = stored(components(spark, links), "roots")
-    placed = rows.select("doc_id", "n", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    placed = stored(placed.select("doc_id", "n", F.coalesce("root", "id").alias("root")), "placed")
-    first = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    filled = placed.where("n > 0").join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = placed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return filled.union(empty)
+    placed = rows.select("doc_id", "n", "id", "digest").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    return stored(placed.select("doc_id", "n", "digest", F.coalesce("root", "id").alias("root")), "placed")
 
 
 def keep_first(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """docs without near duplicates, its columns as they were: of each component the rows with
     the smallest doc_id stay.  Rows without links stay, a null doc_id among them; repeated rows
-    of the smallest doc_id are one document and both stay."""
-    found = near_duplicates(docs, k)
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    of the smallest doc_id are one document and both stay.  A row goes by its doc_id and text, so
+    another text of a repeated doc_id is judged by its own links.  Rows with a null doc_id stay beside
+    others; in a component of them alone the rows of one text stay."""
+    # Rows of one id and text have one set of shingles, so they are in one component.
+    digest = lambda: F.sha2(F.coalesce("text", F.lit("")), 256)
+    found = _placed(docs.select("doc_id", "text", digest().alias("digest")), k)
+    linked = found.where("n > 0")
+    first = linked.groupBy("root").agg(F.min("doc_id").alias("least"), F.min("digest").alias("one"))
+    stays = F.when(F.col("least").isNull(), F.col("digest") == F.col("one")).otherwise(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("least")))
+    gone = linked.join(first, "root").where(~stays).select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest")).distinct()
+    gone = stored(gone, "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]) & (digest() == gone["__digest"]), "left_anti")

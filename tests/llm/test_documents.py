@@ -148,6 +148,17 @@ def test_hamming_bounds_the_difference():
         assert jaccard_join.hamming(jaccard_join._sketch(a), jaccard_join._sketch(b)) <= len(np.setxor1d(a, b))
 
 
+def test_keep_first_of_repeated_and_null_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    one, near, other, third = " ".join(words), " ".join([*words, "end"]), " ".join(f"v{i}" for i in range(60)), [f"u{i}" for i in range(60)]
+    rows = [(1, one), (2, near), (2, other), (None, near), (None, " ".join(third)), (None, " ".join([*third, "end"])), (None, None), (3, "")]
+    kept = jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    thirds = [r.text for r in kept if r.text and r.text.startswith("u0")]
+    assert len(thirds) == 1
+    rest = sorted((str(r.doc_id), str(r.text)) for r in kept if r.text not in thirds)
+    assert rest == sorted([("1", one), ("2", other), ("None", near), ("None", "None"), ("3", "")])
+
+
 def test_keep_first(messy, rows):
     kept = jaccard_join.keep_first(messy)
     assert kept.columns == messy.columns
