@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import checks
 from checks import testbed as T
-from checks.energy import national_inputs
+from checks.energy import national_declarations, national_inputs
 from fieldflux.plans.areas_run import areas_run
 from fieldflux.plans.classification import classify
 from fieldflux.plans.national import national_run
@@ -51,6 +51,13 @@ def national(spark):
     return inputs, national_run(*inputs, wind=T.wind(spark, SMALL))
 
 
+def test_every_parcel_has_a_declaration(spark):
+    base = T.parcels(spark, SMALL).drop("parcela").withColumn("parcela", F.col("row_no").cast("int"))
+    dec = national_declarations(base)
+    assert dec.count() == base.count()
+    assert dec.where("provincia >= 1000").count() == base.where("row_no % 10 = 0").count() > 0
+
+
 def test_every_parcel_is_accounted_for(national):
     (register, *_), run = national
     row = run.coverage.first()
