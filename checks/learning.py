@@ -1,5 +1,8 @@
 """Feature tables, splits, weights, metrics and models."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldflux.operators import features, metrics, models, splits
@@ -278,6 +281,11 @@ def _fit(name, spark, d, crop=True):
     return models.fit_and_score(name, data.where("split = 'train'"), data, [UID, "split"])
 
 
+def _scored(name, data):
+    model, preds = models.fit_and_score(name, data.where("split = 'train'"), data, [UID, "split"])
+    return model, preds.withColumn("model", F.lit(name))
+
+
 @check("m06_logistic_regression")
 def m06(spark, d):
     return _fit("LogisticRegression", spark, d)[1]
@@ -295,22 +303,23 @@ def m08(spark, d):
 
 @check("m09_fit_and_score")
 def m09(spark, d):
-    """Train and test metrics of the scored logistic model on the satellite features."""
-    _, preds = _fit("LogisticRegression", spark, d, crop=False)
-    return metrics.all_metrics(preds, ["split"])
+    """Train and test metrics of the three scored models on the satellite features."""
+    data = materialize(encoded(spark, d, False), "split")
+    parts = models.at_once(lambda name: _scored(name, data)[1], [(name,) for name in models.MODELS])
+    return metrics.all_metrics(materialize(reduce(DataFrame.unionByName, parts), "scored"), ["model", "split"])
 
 
 @check("m10_random_search")
 def m10(spark, d):
-    """Scores of two sampled forests on five folds (the number of candidates is the caller's)."""
+    """Scores of all sampled forests on five folds."""
     data = encoded(spark, d, False).drop("split")
-    return models.search_forest(data, UID, models.sample_candidates(2))
+    return models.search_forest(data, UID, models.sample_candidates())
 
 
 @check("m16_cross_validation")
 def m16(spark, d):
     data = encoded(spark, d, False).drop("split")
-    m = models.cross_validate(data, ["LogisticRegression"], UID)
+    m = models.cross_validate(data, models.MODELS, UID)
     return metrics.fold_summary(m, ["model"], ["accuracy", "misclass_rate", "balanced_accuracy", "AUC", "F1"])
 
 
@@ -332,6 +341,12 @@ def f05(spark, d):
 
 @check("a12_model_and_prediction_sink")
 def a12(spark, d):
-    model, preds = _fit("LogisticRegression", spark, d)
-    path = sinks.write_model(model, preds, f"{scratch_dir(spark)}/models", "ET+crop", "LogisticRegression")
-    return spark.read.parquet(f"{path}/predictions")
+    """The three models and their predictions, written and read again."""
+    data = materialize(encoded(spark, d), "split")
+
+    def written(name):
+        model, preds = _scored(name, data)
+        path = sinks.write_model(model, preds.drop("model"), f"{scratch_dir(spark)}/models", "ET+crop", name)
+        return spark.read.parquet(f"{path}/predictions").withColumn("model", F.lit(name))
+
+    return reduce(DataFrame.unionByName, models.at_once(written, [(name,) for name in models.MODELS]))

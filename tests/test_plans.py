@@ -1,6 +1,7 @@
 """Physical plans and the end-to-end runs on small inputs."""
 
 import pytest
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import functions as F
 
 import checks
@@ -107,3 +108,22 @@ def test_classifiers_beat_the_majority(spark):
     assert result.predictions.where("proba < 0 OR proba > 1").count() == 0
     assert result.importances[0][0] == "LE_mean_mean"
     assert result.sweep.count() == 15 and result.confusion.count() == 6
+
+
+@pytest.mark.parametrize("name", ["m09_fit_and_score", "a12_model_and_prediction_sink", "m10_random_search", "m16_cross_validation"])
+def test_queries_fit_all_models(spark, monkeypatch, name):
+    """The names and candidates that reach the library; fits are those of a fast model."""
+    from checks import learning
+    from fieldflux.operators import models
+
+    rows = [(i, i % 2, DenseVector([float(i % 2) + i % 7, float(i % 5)]), "test" if i % 5 == 0 else "train") for i in range(60)]
+    data = spark.createDataFrame(rows, ["l_partkey", "irrigated_label", "features", "split"])
+    monkeypatch.setattr(learning, "encoded", lambda *a: data)
+    fit, seen = models.fit_and_score, []
+    monkeypatch.setattr(models, "fit_and_score", lambda n, *a, **b: (seen.append(n), fit("LogisticRegression", *a, **b))[1])
+    monkeypatch.setattr(models, "search_forest", lambda d, u, c: (seen.extend(map(str, c)), d)[1])
+    out = checks.QUERIES[name](spark, SMALL)
+    if name.startswith("m10"):
+        assert len(set(seen)) == len(seen) == 40
+    else:
+        assert set(seen) == set(models.MODELS) == {r["model"] for r in out.select("model").distinct().collect()}
