@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, html_text, jaccard_join, language_id, lm_scoring, packing, substring_dedup, warc
-from .common import documents, pages
+from . import bpe, centroids, exact_dedup, filter_audit, fingerprints, html_text, jaccard_join, language_id, lm_scoring, packing, substring_dedup, toxicity, warc
+from .common import documents, pages, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,3 +86,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_html_extraction")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages(spark, sf_dir))
+
+
+@query("op11_centroid_clustering", centroids.sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_filter_audit", filter_audit.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))

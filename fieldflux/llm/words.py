@@ -70,12 +70,12 @@ BYTES, BYTES2, RUNS, RUNS2 = Poly(1), Poly(2), Poly(3), Poly(4)
 
 
 class Words:
-    """All words of a column of texts.
+    """All words of a column of texts; gap: whether a byte stands between words, the line feed included.
 
     buffer: the texts' bytes with a line feed between texts; starts, ends: places of words;
     first: for each text the number of its first word, and at the end the number of words."""
 
-    def __init__(self, texts: pa.ChunkedArray | pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.ChunkedArray | pa.Array, lower: bool = False, gap: np.ndarray = SPACE):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
             if isinstance(texts, pa.ChunkedArray):
@@ -95,7 +95,7 @@ class Words:
             self.buffer, self.offsets = np.empty(0, np.uint8), np.zeros(1, np.int64)
         if lower:
             self.buffer = LOWER[self.buffer]
-        word = ~SPACE[self.buffer]
+        word = ~gap[self.buffer]
         edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
         self.starts, self.ends = edge[::2], edge[1::2]
         self.first = np.searchsorted(self.starts, self.offsets)
