@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine, found through a block-max inverted index.
 
 The classifier is fitted on a bounded sample of labelled rows, EXAMPLES of each label in expectation,
-drawn by a hash of the id.  Words count as terms if the labels depend on
-them: their log-likelihood ratio over the examples is beyond what chance would give for any word of
-that vocabulary.  Inverse document frequencies count all documents.
+drawn by a hash of the id.  Words count as terms if toxic examples have them
+more often than others: their log-likelihood ratio is beyond what chance would give for any word of the
+examples' vocabulary.  Inverse document frequencies count all documents.
 
 Examples are numbered by id and cut into blocks of BLOCK; the index holds each term's postings and its
 largest weight in each block.  Blocks are opened by falling bound, the sum of those largest weights, and
@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, mapped, partitions, stored, worker_cache
-from .words import SPACE, U, Words
+from .words import SPACE, U, Words, gathered
 
-EXAMPLES, NEAREST, BLOCK = 20_000, 25, 64
+EXAMPLES, NEAREST, BLOCK, FIRST = 20_000, 25, 128, 8
 #: The chance that any word at all becomes a term without a reason.
 CHANCE = 0.01
 TOXIC = 0.7
@@ -36,6 +36,8 @@ SOFT = 0.05
 #: Votes of the base rate, in votes of equal texts, so that few neighbours don't make sure.
 DOUBT = 0.1
 BINS = 200
+#: Nearest examples named in a result; vectors whose result a worker remembers.
+EVIDENCE, HELD = 3, 20_000
 
 #: Bytes that end a word: ASCII but for letters, digits and the apostrophe.
 GAP = SPACE.copy()
@@ -91,9 +93,9 @@ def _count_documents(shared):
     return work
 
 
-def _vectors(w: Words, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, weight) of unit vectors, by text and term."""
-    text, term, times = _pairs(w, _look(w.hashes(), terms), len(terms))
+def _vectors(w: Words, term: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, weight) of unit vectors, by text and term; term: of each word, -1 for other words."""
+    text, term, times = _pairs(w, term, len(idf))
     weight = (1 + np.log(times)) * idf[term]
     length = np.sqrt(np.bincount(text, weight * weight, w.n))
     return text, term, weight / length[text]
@@ -104,7 +106,7 @@ def _example_vectors(shared):
         terms, idf = shared.value
         for t in chunks(batches, "text"):
             w = _words(t["text"])
-            text, term, weight = _vectors(w, terms, idf)
+            text, term, weight = _vectors(w, _look(w.hashes(), terms), idf)
             cut = np.searchsorted(text, np.arange(w.n + 1)).astype(np.int32)
             rows = [t[c].combine_chunks() for c in ("doc_id", "toxic")]
             yield pa.RecordBatch.from_arrays([*rows, pa.ListArray.from_arrays(cut, term), pa.ListArray.from_arrays(cut, weight)], ["doc_id", "toxic", "terms", "weights"])
@@ -116,51 +118,64 @@ def _example_vectors(shared):
 class Index:
     """Postings of all terms one after another: example and weight, by example within a term.
 
-    first: where each term's postings start; highest: [term, block] the largest weight there."""
+    cut: [term, block] where the postings of that term in that block start, with the end of the last
+    block after them; highest: [term, block] the largest weight there."""
 
-    first: np.ndarray
+    cut: np.ndarray
     example: np.ndarray
     weight: np.ndarray
     highest: np.ndarray
     n: int
-    block: int = BLOCK
+    block: int
 
     @classmethod
     def of(cls, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int, block: int = BLOCK) -> Index:
         order = np.lexsort((example, term))
         example, term, weight = example[order], term[order], weight[order]
-        highest = np.zeros((n_terms, -(-n // block)))
+        blocks = -(-n // block)
+        highest = np.zeros((n_terms, blocks))
         np.maximum.at(highest, (term, example // block), weight)
-        return cls(np.searchsorted(term, np.arange(n_terms + 1)), example, weight, highest, n, block)
+        place = np.arange(n_terms)[:, None] * blocks + np.arange(blocks + 1)
+        cut = np.searchsorted(term * blocks + example // block, place).astype(np.int64)
+        return cls(cut, example, weight, highest, n, block)
+
+    def _open(self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the blocks' examples that share a term.  An example's products are added
+        term by term, so equal vectors have equal cosines."""
+        starts = self.cut[terms[:, None], blocks]
+        lengths = self.cut[terms[:, None], blocks + 1] - starts
+        at = gathered(lengths.ravel(), starts.ravel())
+        product = self.weight[at] * np.repeat(weights, lengths.sum(axis=1))
+        score = np.bincount(self.example[at], product, self.n)
+        found = np.flatnonzero(score)
+        return found, score[found]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray, int]:
         """(examples, cosines, blocks opened): the k examples of the largest cosine above 0, ties to the
-        smaller number.  Terms ascend; sums run in their order, so equal vectors have equal cosines."""
+        smaller number.  terms ascend.
+
+        First a few blocks of the highest bounds, until k examples are found; then all whose bound
+        reaches the k-th of these, so none that could hold a nearer one stays shut."""
         bound = weights @ self.highest[terms]
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, cosine, opened, at, step = np.empty(0, np.int64), np.empty(0), 0, 0, 4
+        order = order[: np.count_nonzero(bound > 0)]
+        found, cosine, at, step = np.empty(0, np.int64), np.empty(0), 0, FIRST
         while at < len(order):
-            # A bound may be a rounding below a cosine it stands for; equal ones may hold smaller numbers.
-            if len(found) == k and bound[order[at]] < cosine[-1] - 1e-9:
-                break
-            some = np.sort(order[at : at + step])
-            at, opened, step = at + step, opened + len(some), step * 2
-            place = np.repeat(some * self.block, self.block) + np.tile(np.arange(self.block), len(some))
-            slot = np.full(self.highest.shape[1], -1)
-            slot[some] = np.arange(len(some)) * self.block
-            score = np.zeros(len(place))
-            for t, q in zip(terms.tolist(), weights.tolist(), strict=True):
-                a, b = self.first[t], self.first[t + 1]
-                row = self.example[a:b]
-                spot = slot[row // self.block]
-                inside = spot >= 0
-                score[spot[inside] + row[inside] % self.block] += q * self.weight[a:b][inside]
-            good = score > 0
-            found, cosine = np.concatenate([found, place[good]]), np.concatenate([cosine, score[good]])
+            if len(found) == k:
+                # Equal bounds may hold smaller numbers, and a bound may be rounded below a cosine.
+                step = int(np.count_nonzero(bound[order[at:]] >= cosine[-1] - 1e-9))
+                if not step:
+                    break
+            some = order[at : at + step]
+            at, step = at + len(some), 4 * step
+            new, score = self._open(some, terms, weights)
+            if len(new) > 4 * k:
+                high = score >= np.partition(score, -k)[-k]
+                new, score = new[high], score[high]
+            found, cosine = np.concatenate([found, new]), np.concatenate([cosine, score])
             best = np.lexsort((found, -cosine))[:k]
             found, cosine = found[best], cosine[best]
-        return found, cosine, opened
+        return found, cosine, at
 
 
 @dataclass
@@ -203,27 +218,26 @@ def isotonic(good: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.interp(np.arange(len(n)), full, steps)
 
 
-def _told(model: Model, t: pa.Table) -> tuple[Words, list[tuple]]:
-    """For each text (vote or None, nearest examples, cosines, its terms)."""
+def _told(model: Model, w: Words, term: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray] | None]:
+    """For each text its votes and nearest examples with their cosines; None without terms."""
     cache = worker_cache(("toxicity", model.key))
-    w = _words(t["text"])
-    text, term, weight = _vectors(w, model.terms, model.idf)
+    text, term, weight = _vectors(w, term, model.idf)
     cut = np.searchsorted(text, np.arange(w.n + 1))
-    out: list[tuple] = []
+    out: list[tuple | None] = []
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         if a == b:
-            out.append((None, (), (), ()))
+            out.append(None)
             continue
         # Texts with the same terms as often have the same vector.
         name = term[a:b].tobytes() + weight[a:b].tobytes()
-        got = cache.get(name)
-        if got is None:
+        got = cache.get(name, 0)
+        if got == 0:
             found, cosine, _ = model.index.nearest(term[a:b], weight[a:b])
-            if len(cache) > 20_000:
+            if len(cache) > HELD:
                 cache.clear()
-            got = cache[name] = (model.vote(found, cosine) if len(found) else None, found, cosine, term[a:b].copy())
+            got = cache[name] = (model.score(model.vote(found, cosine)), found[:EVIDENCE], cosine[:EVIDENCE]) if len(found) else None
         out.append(got)
-    return w, out
+    return out
 
 
 def _calibrate(shared):
@@ -298,7 +312,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model |
     counts = mapped(rows.select("text", "toxic"), _count_terms, "h long, clean long, toxic long")
     counts = stored(counts.groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "terms")
     bound = ratio_bound(CHANCE / max(1, counts.count()))
-    terms = counts.where(ratio(F.col("clean"), F.col("toxic"), *own) > bound).select("h").toArrow()
+    often = F.col("toxic") * own[0] > F.col("clean") * own[1]
+    terms = counts.where(often & (ratio(F.col("clean"), F.col("toxic"), *own) > bound)).select("h").toArrow()
     terms = np.sort(terms["h"].to_numpy().view(U))
     n = np.zeros(len(terms) + 1, np.int64)
     seen = mapped(docs.select(F.coalesce("text", F.lit("")).alias("text")), _count_documents(sc.broadcast(terms)), "term long, n long")
@@ -321,33 +336,28 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model |
     return model
 
 
-EVIDENCE = 3
-
-
 def _score(shared):
     def work(batches: Iterator[pa.RecordBatch]):
         model: Model = shared.value
         for t in chunks(batches, "text"):
-            w, told = _told(model, t)
-            h = None
-            score, near, words = [], [], []
-            for i, (vote, found, cosine, term) in enumerate(told):
-                if vote is None:
-                    score.append(model.without)
-                    near.append([])
-                    words.append([])
-                    continue
-                h = w.hashes() if h is None else h
-                a, b = int(w.first[i]), int(w.first[i + 1])
-                mine = model.terms[term]
-                at = np.flatnonzero(np.isin(h[a:b], mine))
-                at = at[np.sort(np.unique(h[a:b][at], return_index=True)[1])] + a
-                score.append(model.score(vote))
-                near.append([{"doc_id": int(model.ids[f]), "cosine": float(c), "toxic": int(model.toxic[f])} for f, c in zip(found[:EVIDENCE], cosine[:EVIDENCE], strict=True)])
-                words.append([w.word(int(x)).decode("utf-8", "replace") for x in at])
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+            w = _words(t["text"])
+            term = _look(w.hashes(), model.terms)
+            told = _told(model, w, term)
+            score = np.array([model.without if x is None else x[0] for x in told])
+            n = np.array([0 if x is None else len(x[1]) for x in told], np.int64)
+            found = np.concatenate([np.empty(0, np.int64), *(x[1] for x in told if x is not None)])
+            cosine = np.concatenate([np.empty(0), *(x[2] for x in told if x is not None)])
+            near = pa.StructArray.from_arrays([pa.array(model.ids[found]), pa.array(cosine), pa.array(model.toxic[found].astype(np.int32))], ["doc_id", "cosine", "toxic"])
+            near = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), near)
+            # The first place of each term in each text.
+            hit = np.flatnonzero(term >= 0)
+            owner = w.owners()[hit]
+            _, first = np.unique(owner * max(1, len(model.terms)) + term[hit], return_index=True)
+            first = np.sort(first)
+            cut = np.searchsorted(owner[first], np.arange(w.n + 1)).astype(np.int32)
+            words = pa.array([w.word(x).decode("utf-8", "replace") for x in hit[first].tolist()], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [t["doc_id"].combine_chunks(), t["held_out"].combine_chunks(), pa.array(score, pa.float64()), pa.array(near, kind), pa.array(words, pa.list_(pa.string()))],
+                [t["doc_id"].combine_chunks(), t["held_out"].combine_chunks(), pa.array(score), near, pa.ListArray.from_arrays(cut, words)],
                 ["doc_id", "held_out", "score", "nearest", "terms"],
             )
 
