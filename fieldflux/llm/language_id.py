@@ -2,17 +2,18 @@
 words character n-grams that get shorter until one is known.
 
 The classifier is fitted on a sample of labelled rows, `sample_docs` for each language in
-expectation, drawn by a hash of doc_id and counted in Spark over their whole texts.  The model is
-bounded by MOST_WORDS and MOST_GRAMS and is broadcast.  A prediction sees the text only, all of it.
+expectation, drawn by a hash of doc_id and counted in Spark over their whole texts.  Every word and every
+n-gram of that sample is in the model, which that bounds, and the model is broadcast as sorted arrays of
+64-bit hashes.  A prediction sees the text only, all of it: the different words of a few megabytes of text
+are spelled, looked up and summed together.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +21,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, mapped, stored, worker_cache
-from .words import Words
+from .common import chunks, mapped, stored
+from .words import RUNS, U, Words, gathered, mix
 
-SAMPLE_DOCS, MOST_WORDS, MOST_GRAMS, LONGEST = 3000, 80_000, 120_000, 4
+SAMPLE_DOCS, LONGEST = 3000, 4
 #: A text's score weighs its mean evidence as that of so many words at most, so that it stays
 #: between sure and unsure for long texts too.
 WEIGHT = 30
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+#: Characters whose words or n-grams are looked up at once, and strings hashed at once.
+SPAN, STRINGS = 1 << 19, 1 << 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -77,38 +80,114 @@ def _count_grams(batches: Iterator[pa.RecordBatch]):
         )
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _run_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return RUNS.runs(RUNS.sums(mix(points.astype(U) + U(1))), starts, ends)
+
+
+def _ending_hashes(points: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n characters that end at each place; places before the n-th mean nothing."""
+    sums = RUNS.sums(mix(points.astype(U) + U(1)))
+    ends = np.arange(1, len(points) + 1)
+    return RUNS.runs(sums, np.maximum(ends - n, 0), ends)
+
+
+def keys_of(parts: list[str]) -> np.ndarray:
+    """The 64-bit hash of each string; strings that differ in length or characters have others."""
+    out = [np.empty(0, U)]
+    for i in range(0, len(parts), STRINGS):
+        some = parts[i : i + STRINGS]
+        ends = np.cumsum([len(p) for p in some], dtype=np.int64)
+        out.append(_run_hashes(_points("".join(some)), np.append(0, ends[:-1]), ends))
+    return np.concatenate(out)
+
+
 @dataclass
+class Table:
+    """Rows of log shares by sorted hashes of their words or n-grams."""
+
+    keys: np.ndarray
+    rows: np.ndarray
+
+    @classmethod
+    def of(cls, named: dict[str, int], rows: np.ndarray) -> Table:
+        keys = keys_of(list(named))
+        order = np.argsort(keys)
+        return cls(keys[order], rows[np.array(list(named.values()), np.int64)[order]])
+
+    def look(self, keys: np.ndarray) -> np.ndarray:
+        """The row's number of each key, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+
 class Model:
-    """Log shares of languages for words and n-grams, each row summing to one as shares."""
+    """Log shares of languages for words and n-grams, each row summing to one as shares.
 
-    langs: list[str]
-    prior: np.ndarray
-    words: dict[str, int]
-    word_rows: np.ndarray
-    grams: dict[str, int]
-    gram_rows: np.ndarray
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+    words and grams: their row by spelling, or a Table."""
+
+    def __init__(self, langs: list[str], prior: np.ndarray, words, word_rows, grams, gram_rows):
+        self.langs, self.prior = langs, prior
+        self.words = Table(words, word_rows) if isinstance(words, np.ndarray) else Table.of(words, word_rows)
+        self.grams = Table(grams, gram_rows) if isinstance(grams, np.ndarray) else Table.of(grams, gram_rows)
 
     def word(self, part: str) -> np.ndarray:
-        at = self.words.get(part)
-        if at is not None:
-            return self.word_rows[at]
-        bound, got = f"\x02{part}\x03", []
-        for end in range(1, len(bound)):
-            # The longest known n-gram that ends here.
-            for n in range(min(LONGEST, end + 1), 0, -1):
-                g = self.grams.get(bound[end + 1 - n : end + 1])
-                if g is not None:
-                    got.append(g)
-                    break
-        return self.gram_rows[got].mean(axis=0) if got else np.zeros(len(self.langs))
-
-
-def _shares(counts: dict[str, np.ndarray], totals: np.ndarray, smooth: float) -> tuple[dict[str, int], np.ndarray]:
-    keys = sorted(counts)
-    n = np.array([counts[k] for k in keys]).reshape(len(keys), len(totals))
-    rate = (n + smooth) / (totals + smooth * max(1, len(keys)))
-    return {k: i for i, k in enumerate(keys)}, np.log(rate / rate.sum(axis=1, keepdims=True)) if len(keys) else np.zeros((0, len(totals)))
+        points = _points(part)
+        return self.parts(points, np.array([0]), np.array([len(points)]))[0]
+
+    def parts(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """[part, language]: the known word's row, or else the mean of the longest known n-grams that
+        end at each of its characters and at its end."""
+        out = np.zeros((len(starts), len(self.langs)))
+        at = self.words.look(_run_hashes(points, starts, ends))
+        out[at >= 0] = self.words.rows[at[at >= 0]]
+        rest = np.flatnonzero(at < 0)
+        if len(rest):
+            out[rest] = self._backed_off(points, starts[rest], ends[rest])
+        return out
+
+    def _backed_off(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        # Each word between a mark of its start and a mark of its end.
+        size = ends - starts + 2
+        last = np.cumsum(size)
+        first = last - size
+        bound = np.empty(int(last[-1]), np.uint32)
+        bound[first], bound[last - 1] = 2, 3
+        inner = np.ones(len(bound), bool)
+        inner[first] = inner[last - 1] = False
+        bound[inner] = points[gathered(ends - starts, starts)]
+        place = np.arange(len(bound)) - np.repeat(first, size)  # within its word
+        gram = np.full(len(bound), -1)
+        left = np.flatnonzero(place > 0)
+        for n in range(LONGEST, 0, -1):
+            able = left[place[left] >= n - 1]
+            found = self.grams.look(_ending_hashes(bound, n)[able])
+            gram[able] = found
+            left = left[gram[left] < 0]
+        hit = np.flatnonzero(gram >= 0)
+        word = np.searchsorted(last, hit, "right")
+        n = np.maximum(1, np.bincount(word, minlength=len(size)))
+        rows = self.grams.rows[gram[hit]]
+        return np.stack([np.bincount(word, rows[:, j], len(size)) / n for j in range(rows.shape[1])], 1)
+
+
+def _table(rows: pa.Table, name: str, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, rows of log shares) of all words or n-grams that were counted."""
+    keys, which = np.unique(keys_of(rows[name].to_pylist()), return_inverse=True)
+    n = np.zeros((len(keys), len(langs)))
+    lang = rows["lang"].combine_chunks().dictionary_encode()
+    code = np.array([langs.index(x) for x in lang.dictionary.to_pylist()], np.int64)[lang.indices.to_numpy()] if len(rows) else np.empty(0, np.int64)
+    np.add.at(n, (which, code), rows["n"].to_numpy())
+    rate = (n + SMOOTH) / (n.sum(axis=0) + SMOOTH * max(1, len(keys)))
+    return keys, np.log(rate / rate.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
+SMOOTH = 0.5
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
@@ -126,45 +205,32 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     counts = stored(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     found = mapped(counts, _count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
-    def table(df: DataFrame, name: str, most: int) -> dict[str, np.ndarray]:
-        out: dict[str, np.ndarray] = {}
-        for r in df.orderBy(F.desc("n"), name, "lang").limit(most).toLocalIterator():
-            out.setdefault(r[name], np.zeros(len(langs)))[langs.index(r["lang"])] = r["n"]
-        return out
-
-    words = table(counts.where("n > 1"), "word", MOST_WORDS)
-    pieces = table(found.where("n > 1"), "gram", MOST_GRAMS)
-    totals = lambda t: sum(t.values(), np.zeros(len(langs)))
-    w, w_rows = _shares(words, totals(words), 0.5)
-    g, g_rows = _shares(pieces, totals(pieces), 0.5)
     number = np.array([sizes[k] for k in langs], float)
-    return Model(langs, np.log(number / number.sum()), w, w_rows, g, g_rows)
-
-
-MOST_HELD = 250_000
+    return Model(langs, np.log(number / number.sum()), *_table(counts.toArrow(), "word", langs), *_table(found.toArrow(), "gram", langs))
 
 
 def _word_scores(model: Model, w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """For each different word (scores by language, letters 0 or 1), and the number of each word's."""
-    cache = worker_cache(("language", model.key))
-    keys, first, which = w.distinct()
-    if not cache or len(cache["at"]) + len(keys) > MOST_HELD:
-        cache.update(at={}, rows=np.empty((0, len(model.langs) + 1)))
-    held = cache["at"]
-    got = [held.get(k) for k in keys.tolist()]
-    new = [i for i, x in enumerate(got) if x is None]
-    if new:
-        rows = np.zeros((len(new), len(model.langs) + 1))
-        for x, i in enumerate(new):
-            for part in LETTERS.findall(w.word(first[i]).decode("utf-8").lower()):
-                rows[x, :-1] += model.word(part)
-                rows[x, -1] += 1
-        base = len(cache["rows"])
-        held.update(zip(keys[new].tolist(), range(base, base + len(new)), strict=True))
-        cache["rows"] = np.concatenate([cache["rows"], rows])
-        for x, i in enumerate(new):
-            got[i] = base + x
-    return cache["rows"][np.array(got, np.int64)], which
+    """For each different word (scores by language, number of parts with letters), and the number of each word's."""
+    _, first, which = w.distinct()
+    spelled = _points(b"\n".join([w.word(i) for i in first.tolist()]).decode("utf-8").lower())
+    # Whether each of the characters that occur is a letter.
+    seen = np.zeros(0x110000, bool)
+    seen[spelled] = True
+    letter = np.zeros(0x110000, bool)
+    for c in np.flatnonzero(seen).tolist():
+        letter[c] = LETTERS.fullmatch(chr(c)) is not None
+    edge = np.flatnonzero(np.diff(letter[spelled].view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    starts, ends = edge[::2], edge[1::2]
+    owner = np.searchsorted(np.flatnonzero(spelled == 10), starts)
+    rows = np.empty((len(starts), len(model.langs)))
+    cut = np.searchsorted(ends, np.arange(SPAN, len(spelled) + SPAN, SPAN))
+    for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(starts)], strict=True):
+        if i < j:
+            a, b = int(starts[i]), int(ends[j - 1])
+            rows[i:j] = model.parts(spelled[a:b], starts[i:j] - a, ends[i:j] - a)
+    n = len(first)
+    sums = [np.bincount(owner, rows[:, j], n) for j in range(rows.shape[1])]
+    return np.stack([*sums, np.bincount(owner, minlength=n)], 1), which
 
 
 def _predict(shared):
