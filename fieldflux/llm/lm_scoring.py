@@ -33,6 +33,7 @@ from .words import U, Words
 
 TYPES, ENDINGS, CLASSES, ROUNDS, HELD = 1000, 300, 48, 8, 1 << 19
 BATCHES = 2  # of words that move together
+SLICE = 1 << 16  # rows of a batch of counts
 BOUNDARY = -1  # the boundary among hashes of words
 PRIOR = 20.0  # weight of the classes' own shares in a transition
 
@@ -53,10 +54,12 @@ def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]):
-    for t in chunks(batches, "text", 8 << 20):
+    for t in chunks(batches, "text"):
         keys, ending, which = _distinct(Words(t["text"], lower=True))
         n = np.bincount(which, minlength=len(keys))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(ending)], ["h", "n", "ending"])
+        for i in range(0, len(keys), SLICE):
+            j = i + SLICE
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i:j].view(np.int64)), pa.array(n[i:j]), pa.array(ending[i:j])], ["h", "n", "ending"])
 
 
 @dataclass
@@ -103,7 +106,7 @@ def _count_pairs(shared):
         lex: Lexicon = shared.value
         n = lex.rest + 2  # the last type is the boundary
         total = np.zeros(n * n, np.int64)
-        for t in chunks(batches, "text", 8 << 20):
+        for t in chunks(batches, "text"):
             w = Words(t["text"], lower=True)
             keys, ending, which = _distinct(w)
             kind, _ = lex.look(keys, ending)
@@ -189,14 +192,16 @@ def _smoothed(table: np.ndarray, of: np.ndarray, sums: np.ndarray, kinds: np.nda
 
 def _count_neighbours(batches: Iterator[pa.RecordBatch]):
     """How often words follow each other, the boundary before and after each text included."""
-    for t in chunks(batches, "text", 16 << 20):
+    for t in chunks(batches, "text"):
         w = Words(t["text"], lower=True)
         keys, _, which = w.distinct()
         m = len(keys) + 1
         before, to, _ = _transitions(w, which, m - 1)
         pair, n = np.unique(before * m + to, return_counts=True)
         ids = np.append(keys.view(np.int64), BOUNDARY)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[pair // m]), pa.array(ids[pair % m]), pa.array(n)], ["a", "b", "n"])
+        for i in range(0, len(pair), SLICE):
+            some = pair[i : i + SLICE]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some // m]), pa.array(ids[some % m]), pa.array(n[i : i + SLICE])], ["a", "b", "n"])
 
 
 def _first_classes(shared):
