@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fieldflux.constants import BANDS
 from fieldflux.functions import fluxes, indices, nulls
-from fieldflux.operators import composite, geometry, quantiles, rasterize, terrain, zonal
+from fieldflux.operators import composite, elevation, geometry, quantiles, rasterize, terrain, zonal
 from fieldflux.scratch import attach
 from fieldflux.sources import tables
 
@@ -85,6 +85,73 @@ def d09(spark, d):
     return terrain.resample_nearest(dem.drop("dem"), coarse).select("tile_id", "y", "x", "dem")
 
 
+# Elevation of any grid: tiles of 24 x 24 pixels in zone 30, and for each supplier an item of 47 m cells in
+# that zone and one in degrees, none on the tiles' corners.
+_ROW, _COL = "CAST(s_suppkey % 40 AS DOUBLE)", "CAST(floor(s_suppkey / 40.0) AS DOUBLE)"
+CTES["etiles"] = f"SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS tile_id, 400015.0 + 1730.0 * {_ROW} AS west, 4400005.0 + 1990.0 * {_COL} AS north FROM supplier"
+CTES["egrids"] = """SELECT 'u' || tile_id AS item_id, 25830 AS epsg, west - 131.0 AS x0, north + 77.0 AS y0, 47.0 AS dx, 47.0 AS dy, 20 AS nx, 20 AS ny FROM etiles
+UNION ALL SELECT DISTINCT 'g' || CAST(s_suppkey AS VARCHAR), 4326, -4.1711 + 0.0203 * """ + _ROW + """, 39.7507 + 0.0179 * """ + _COL + """, 0.0004, 0.0003, 40, 40 FROM supplier"""
+CTES["ecells"] = """SELECT item_id, CAST(r.v AS INTEGER) AS row, CAST(c.v AS INTEGER) AS col, CAST(200 + (r.v * 13 + c.v * 7 + nx) % 97 AS DOUBLE) AS dem
+FROM egrids CROSS JOIN (SELECT unnest(range(40)) AS v) r CROSS JOIN (SELECT unnest(range(40)) AS v) c WHERE r.v < ny AND c.v < nx"""
+# GRS80, and the third-flattening series of the inverse transverse Mercator projection.
+_E, _E2 = 0.08181919104281579, 0.006694380022900788
+_BETA = [0.000837732168164144, 5.90586962608273e-08, 1.6734889049883462e-10, 2.167737805596757e-13]
+_SUMS = [
+    f"xi - ({' + '.join(f'{b!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)' for j, b in enumerate(_BETA, 1))})",
+    f"eta - ({' + '.join(f'{b!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)' for j, b in enumerate(_BETA, 1))})",
+]
+CTES["ecoarse"] = f"""SELECT tile_id, gx, gy, (gx + 0.5) * 60.0 AS cx, (gy + 0.5) * 60.0 AS cy,
+  (gy + 0.5) * 60.0 / (0.9996 * 6367449.145771047) AS xi, ((gx + 0.5) * 60.0 - 500000.0) / (0.9996 * 6367449.145771047) AS eta
+  FROM (SELECT *, unnest(range(CAST(floor((north - 750.0) / 60.0) AS BIGINT), CAST(ceil((north + 30.0) / 60.0) AS BIGINT))) AS gy FROM
+    (SELECT *, unnest(range(CAST(floor((west - 30.0) / 60.0) AS BIGINT), CAST(ceil((west + 750.0) / 60.0) AS BIGINT))) AS gx FROM etiles))"""
+CTES["eplane"] = f"SELECT *, {_SUMS[0]} AS xp, {_SUMS[1]} AS ep FROM ecoarse"
+CTES["etau0"] = "SELECT *, -3.0 + degrees(atan2(sinh(ep), cos(xp))) AS lon, tan(asin(sin(xp) / cosh(ep))) AS taup, tan(asin(sin(xp) / cosh(ep))) AS tau FROM eplane"
+for _i in range(1, 5):
+    # Newton's steps from the conformal latitude to the latitude.
+    _S = f"sinh({_E!r} * atanh({_E!r} * tau / sqrt(1.0 + tau * tau)))"
+    CTES[f"etau{_i}"] = f"""SELECT * EXCLUDE (t), tau + (taup - t) / sqrt(1.0 + t * t) * (1.0 + (1.0 - {_E2!r}) * tau * tau) / ((1.0 - {_E2!r}) * sqrt(1.0 + tau * tau)) AS tau2
+      FROM (SELECT *, tau * sqrt(1.0 + {_S} * {_S}) - {_S} * sqrt(1.0 + tau * tau) AS t FROM {'etau0' if _i == 1 else f'(SELECT * EXCLUDE (tau, tau2), tau2 AS tau FROM etau{_i - 1})'})"""
+CTES["eplaced"] = """SELECT tile_id, gx, gy, g.item_id, CAST(floor((CASE WHEN epsg = 4326 THEN lon ELSE cx END - x0) / dx) AS INTEGER) AS col,
+  CAST(floor((y0 - CASE WHEN epsg = 4326 THEN degrees(atan(tau2)) ELSE cy END) / dy) AS INTEGER) AS row
+  FROM etau4 e JOIN egrids g ON CASE WHEN epsg = 4326 THEN lon ELSE cx END >= x0 AND CASE WHEN epsg = 4326 THEN lon ELSE cx END < x0 + nx * dx
+    AND CASE WHEN epsg = 4326 THEN degrees(atan(tau2)) ELSE cy END <= y0 AND CASE WHEN epsg = 4326 THEN degrees(atan(tau2)) ELSE cy END > y0 - ny * dy"""
+CTES["ecoarsedem"] = "SELECT tile_id, gx, gy, max(CASE WHEN dem <> 216 THEN dem END) AS dem FROM eplaced JOIN ecells USING (item_id, row, col) GROUP BY ALL"
+
+
+@check(
+    "d09_elevation_on_any_grid",
+    """SELECT t.tile_id, t.y, t.x, d.dem FROM (SELECT tile_id, west, north, CAST(gy.v AS INTEGER) AS y, CAST(gx.v AS INTEGER) AS x
+      FROM etiles CROSS JOIN (SELECT unnest(range(24)) AS v) gy CROSS JOIN (SELECT unnest(range(24)) AS v) gx) t
+      JOIN ecoarsedem d ON d.tile_id = t.tile_id AND d.gx = floor((t.west + (t.x + 0.5) * 30.0) / 60.0)
+      AND d.gy = ceil((t.north - (t.y + 0.5) * 30.0) / 60.0) - 1""",
+)
+def d09_any(spark, d):
+    """Elevation of items in another grid and in degrees, nearest by two steps, on every tile."""
+    tiles, grids, cells = elevation_inputs(spark, d)
+    return elevation.elevation_on_pixels(tiles, grids, cells, nodata=216.0)
+
+
+def elevation_inputs(spark, d):
+    """(tiles, grids, cells): for each supplier a tile and two elevation items on grids of their own."""
+    s = T.read(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("k")).distinct()
+    row, col = (F.col("k") % 40).cast("double"), F.floor(F.col("k") / 40).cast("double")
+    tiles = s.select(
+        F.col("k").cast("string").alias("tile_id"), F.lit(30).alias("zone"), (400015.0 + 1730.0 * row).alias("west"),
+        (4400005.0 + 1990.0 * col).alias("north"), F.lit(24).alias("nx"), F.lit(24).alias("ny"),
+    )
+    made = lambda item, epsg, x0, y0, dx, dy, n: [
+        item.alias("item_id"), F.lit(epsg).alias("epsg"), x0.alias("x0"), y0.alias("y0"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"),
+        F.lit(n).alias("nx"), F.lit(n).alias("ny"),
+    ]
+    plane = tiles.select(*made(F.concat(F.lit("u"), "tile_id"), 25830, F.col("west") - 131.0, F.col("north") + 77.0, 47.0, 47.0, 20))
+    degrees = s.select(*made(F.concat(F.lit("g"), F.col("k").cast("string")), 4326, -4.1711 + 0.0203 * row, 39.7507 + 0.0179 * col, 0.0004, 0.0003, 40))
+    grids = plane.unionByName(degrees)
+    cells = grids.select("item_id", "nx", "ny", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("row"))
+    cells = cells.select("item_id", "nx", "row", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("col"))
+    value = (200 + (F.col("row") * 13 + F.col("col") * 7 + F.col("nx")) % 97).cast("double")
+    return tiles, grids, cells.select("item_id", "row", "col", value.alias("dem"))
+
+
 _GRAD = """SELECT c.tile_id, c.y, c.x, c.dem,
   CASE WHEN c.x = e.x0 THEN (r.dem - c.dem) / 30 WHEN c.x = e.x1 THEN (c.dem - l.dem) / 30 ELSE (r.dem - l.dem) / 60 END AS dzdx,
   CASE WHEN c.y = e.y0 THEN (b.dem - c.dem) / 30 WHEN c.y = e.y1 THEN (c.dem - t.dem) / 30 ELSE (b.dem - t.dem) / 60 END AS dzdy
