@@ -2,8 +2,8 @@
 
 The classifier is fitted on a bounded sample of labelled rows, EXAMPLES of each label in expectation,
 drawn by a hash of the id.  Words count as terms if toxic examples have them
-more often than others: their log-likelihood ratio is beyond what chance would give for any word of the
-examples' vocabulary.  Inverse document frequencies count all documents.
+LIFT times as often as others, and their log-likelihood ratio is beyond what chance would give for any
+word of the examples' vocabulary.  Inverse document frequencies count all documents.
 
 Examples are numbered by id and cut into blocks of BLOCK; the index holds each term's postings and its
 largest weight in each block.  Blocks are opened by falling bound, the sum of those largest weights, and
@@ -30,6 +30,9 @@ from .words import SPACE, U, Words, gathered
 EXAMPLES, NEAREST, BLOCK, FIRST = 20_000, 25, 128, 8
 #: The chance that any word at all becomes a term without a reason.
 CHANCE = 0.01
+#: How much larger the share of toxic texts with a term is than that of others: with many examples,
+#: words that are hardly more frequent in one kind pass the test of chance too.
+LIFT = 2.0
 TOXIC = 0.7
 #: Distance at which a vote counts half of what an equal text's does.
 SOFT = 0.05
@@ -312,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model |
     counts = mapped(rows.select("text", "toxic"), _count_terms, "h long, clean long, toxic long")
     counts = stored(counts.groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "terms")
     bound = ratio_bound(CHANCE / max(1, counts.count()))
-    often = F.col("toxic") * own[0] > F.col("clean") * own[1]
+    often = F.col("toxic") * own[0] > LIFT * F.col("clean") * own[1]
     terms = counts.where(often & (ratio(F.col("clean"), F.col("toxic"), *own) > bound)).select("h").toArrow()
     terms = np.sort(terms["h"].to_numpy().view(U))
     n = np.zeros(len(terms) + 1, np.int64)
