@@ -73,12 +73,18 @@ def utm_zone(lon: Column) -> Column:
 
 def utm_epsg(lon: Column, lat: Column) -> Column:
     """ETRS89 code for zones 28-38, WGS84 code elsewhere; the southern hemisphere fails."""
-    zone = utm_zone(lon)
-    code = F.when(zone.between(28, 38), F.lit(25800) + zone).otherwise(F.lit(32600) + zone)
+    code = utm_epsg_or_null(lon, lat)
     south = F.raise_error(F.lit("latitude is in the southern hemisphere: no zone for it"))
     return F.when(lat < 0, south.cast("int")).otherwise(code)
 
 
+def utm_epsg_or_null(lon: Column, lat: Column) -> Column:
+    """The same code, missing in the southern hemisphere, so that one such place fails alone."""
+    zone = utm_zone(lon)
+    code = F.when(zone.between(28, 38), F.lit(25800) + zone).otherwise(F.lit(32600) + zone)
+    return F.when(~(lat < 0), code)
+
+
 def zone_of_epsg(epsg: Column) -> Column:
     """UTM zone number of a 258xx or 326xx code."""
     return F.pmod(epsg, F.lit(100)).cast("int")

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import PIXEL_SIZE_M
-from ..functions.projections import to_utm, utm_epsg, zone_of_epsg
+from ..functions.projections import to_utm, utm_epsg_or_null, zone_of_epsg
 from .geometry import explode_edges, explode_parts, geographic_centroid
 from .rasterize import to_pixel_units
 
@@ -12,11 +12,12 @@ from .rasterize import to_pixel_units
 def area_tiles(areas: DataFrame, pixel: float = PIXEL_SIZE_M) -> tuple[DataFrame, DataFrame]:
     """(tiles, outline edges in pixel units) of lon/lat areas (tile_id, geometry).
 
-    The centroid gives the UTM zone, and the area's bounds in that zone the pixel grid."""
+    The centroid gives the UTM zone, and the area's bounds in that zone the pixel grid.  An area
+    without a zone (in the southern hemisphere) keeps its row, without epsg and raster."""
     ids = ["tile_id"]
     edges = explode_edges(explode_parts(areas, ids), ids)
     center = geographic_centroid(edges, ids).select("tile_id", "lon", "lat")
-    center = center.withColumn("epsg", utm_epsg(F.col("lon"), F.col("lat")))
+    center = center.withColumn("epsg", utm_epsg_or_null(F.col("lon"), F.col("lat")))
     center = center.withColumn("zone", zone_of_epsg(F.col("epsg")))
     flat = edges.join(center.select("tile_id", "zone"), ids)
     flat = to_utm(to_utm(flat, "x1", "y1", "zone", "_ax", "_ay"), "x2", "y2", "zone", "_bx", "_by")
