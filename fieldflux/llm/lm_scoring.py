@@ -1,12 +1,12 @@
 """Perplexity of documents under a class-based bigram model.
 
-Counts cover all training documents: every word's count, and how often each word follows each
-other; a boundary stands before and after each text.  Exchange clustering assigns every word of
+Counts cover all training documents: every word's count, and how often it stands beside each
+class; a boundary stands before and after each text.  Exchange clustering assigns every word of
 the training vocabulary to a class: a word moves to the class that raises the likelihood of the
 class bigrams most.  It starts from classes of types, made on the driver: a type is one of the TYPES
 most frequent words, or, for other words, one of the ENDINGS most frequent endings, or the rest.
-Then all words move in BATCHES, each by its own neighbours: their counts are joined to the current
-classes in Spark, and only the table of class pairs, of a fixed size, is broadcast.  A word moves if
+Then all words move in BATCHES, each by its own neighbours: for each batch the texts are read again
+and the neighbours of its words counted by their current classes.  A word moves if
 it gains more than the log of the number of classes, which is what naming its class takes; without
 that, words seen once or twice follow chance.  A batch that doesn't raise the likelihood is taken back.  Endings class only words that training hasn't seen.
 
@@ -34,7 +34,6 @@ from .words import U, Words
 TYPES, ENDINGS, CLASSES, ROUNDS, HELD = 1000, 300, 48, 8, 1 << 19
 BATCHES = 2  # of words that move together
 SLICE = 1 << 16  # rows of a batch of counts
-BOUNDARY = -1  # the boundary among hashes of words
 PRIOR = 20.0  # weight of the classes' own shares in a transition
 
 
@@ -190,18 +189,54 @@ def _smoothed(table: np.ndarray, of: np.ndarray, sums: np.ndarray, kinds: np.nda
     return ClassModel(of, np.log10(steps), spread)
 
 
-def _count_neighbours(batches: Iterator[pa.RecordBatch]):
-    """How often words follow each other, the boundary before and after each text included."""
-    for t in chunks(batches, "text", 16 << 20):
-        w = Words(t["text"], lower=True)
-        keys, _, which = w.distinct()
-        m = len(keys) + 1
-        before, to, _ = _transitions(w, which, m - 1)
-        pair, n = np.unique(before * m + to, return_counts=True)
-        ids = np.append(keys.view(np.int64), BOUNDARY)
+def _count_sides(shared, k: int, turn: int, of: int):
+    """(w, v, code, n): how often words have neighbours of a class, summed over a few megabytes of text.
+
+    Rows are for words whose turn it is, and those whose class isn't held: code c is the class of words
+    after it, k + 1 + c of words before it (only in its turn), 2k + 2 the word itself.  Words of
+    known class that don't move now are summed up: w is null and the code is class * (k + 1) + class.
+    Where the neighbour's class isn't held, v is the neighbour and its class is still to be added to the code."""
+
+    def rows(keys: np.ndarray, x: np.ndarray, y: np.ndarray, right: bool):
+        m = len(keys)
+        wide = m + k + 2
+        pair, n = np.unique(x * wide + y, return_counts=True)
+        ids = np.append(keys.view(np.int64), 0)
         for i in range(0, len(pair), SLICE):
-            some = pair[i : i + SLICE]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some // m]), pa.array(ids[some % m]), pa.array(n[i : i + SLICE])], ["a", "b", "n"])
+            x, y = pair[i : i + SLICE] // wide, pair[i : i + SLICE] % wide
+            cls = np.where(y < m, 0, y - m)
+            code = np.where(x < m, np.where(cls == k + 1, 2 * k + 2, cls), (x - m) * (k + 1) + cls) if right else k + 1 + cls
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids[np.minimum(x, m)], mask=x >= m), pa.array(ids[np.minimum(y, m)], mask=y >= m),
+                    pa.array(code.astype(np.int32)), pa.array(n[i : i + SLICE]),
+                ],
+                ["w", "v", "code", "n"],
+            )
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        held, classes = shared.value
+        for t in chunks(batches, "text", 8 << 20):
+            w = Words(t["text"], lower=True)
+            keys, _, which = w.distinct()
+            m = len(keys)
+            cls = np.full(m + 1, -1)
+            cls[m] = k  # the boundary
+            if len(held):
+                at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+                hit = held[at] == keys
+                cls[:m][hit] = classes[at[hit]]
+            moves = np.append(keys.view(np.int64) % of == turn, False)
+            place = np.arange(m + 1)
+            as_word = np.where(moves | (cls < 0), place, m + cls)
+            as_neighbour = np.where(cls < 0, place, m + cls)
+            before, to, _ = _transitions(w, which, m)
+            own = (before == to) & (as_word[before] < m)
+            yield from rows(keys, as_word[before], np.where(own, m + k + 1, as_neighbour[to]), True)
+            left = moves[to] & ~own
+            yield from rows(keys, to[left], as_neighbour[before[left]], False)
+
+    return work
 
 
 def _first_classes(shared):
@@ -214,28 +249,31 @@ def _first_classes(shared):
     return work
 
 
-def _by_class(neighbours: DataFrame, classes: DataFrame, k: int, all_held: bool) -> DataFrame:
-    """(w, seen): each word's own class (code -1) and its neighbours by class: code c is the class of
-    words after it, k + 1 + c of words before it, 2k + 2 the word itself.
-
-    2k + 4 codes at most, so a row has a fixed size.  Classes of the most frequent words are broadcast."""
-    spark = neighbours.sparkSession
-    sides = neighbours.select(
-        F.inline(F.array(
-            F.struct(F.col("a").alias("w"), F.col("b").alias("v"), F.when(F.expr("a = b"), 2 * k + 2).otherwise(0).alias("side"), "n"),
-            F.struct(F.col("b").alias("w"), F.col("a").alias("v"), F.when(F.expr("a = b"), None).otherwise(k + 1).alias("side"), "n"),
-        ))
-    ).where("side is not null")
-    edge = spark.createDataFrame([(BOUNDARY, k, True)], "h long, cls int, held boolean")
-    classes = classes.union(edge)
-    held = classes.where("held").select(F.col("h").alias("v"), "cls")
-    met = sides.join(F.broadcast(held), "v", "inner" if all_held else "left")
+def _in_turn(turn: int, of: int) -> Column:
+    return F.pmod("h", F.lit(of)) == turn
+
+
+def _by_class(train: DataFrame, classes: DataFrame, k: int, all_held: bool, turn: int, of: int) -> DataFrame:
+    """(w, seen): for each word whose turn it is or whose class isn't held its own class (code -1) and its
+    neighbours by class, see `_count_sides`; for null the sums of all other words.
+
+    2k + 4 codes at most, or (k + 1)^2 for null, so a row has a bounded size.  Classes of the most frequent
+    words are broadcast; only neighbours beyond them are joined."""
+    held = classes.where("held").select("h", "cls").toArrow()
+    h, cls = held["h"].to_numpy().view(U), held["cls"].to_numpy()
+    order = np.argsort(h)
+    shared = train.sparkSession.sparkContext.broadcast((h[order], cls[order]))
+    sides = mapped(train, _count_sides(shared, k, turn, of), "w long, v long, code int, n long")
+    named = _in_turn(turn, of)
     if not all_held:
+        # Stored, as both parts are read; rows without v must not meet in a join.
+        sides = stored(sides.groupBy("w", "v", "code").agg(F.sum("n").alias("n")), "sides")
         others = classes.where("not held").select(F.col("h").alias("v"), "cls")
-        met = met.where("cls is not null").unionByName(met.where("cls is null").drop("cls").join(others, "v"))
-    code = F.when(F.col("side") == 2 * k + 2, F.col("side")).otherwise(F.col("side") + F.col("cls")).alias("code")
-    sums = met.select("w", code, "n").groupBy("w", "code").agg(F.sum("n").alias("n"))
-    own = classes.select(F.col("h").alias("w"), F.lit(-1).alias("code"), (F.col("cls") * 2 + F.col("held").cast("int")).cast("long").alias("n"))
+        found = sides.where("v is not null").join(others, "v").select("w", (F.col("code") + F.col("cls")).alias("code"), "n")
+        sides = sides.where("v is null").select("w", "code", "n").unionByName(found)
+        named = named | ~F.col("held")
+    sums = sides.groupBy("w", "code").agg(F.sum("n").alias("n"))
+    own = classes.where(named).select(F.col("h").alias("w"), F.lit(-1).alias("code"), (F.col("cls") * 2 + F.col("held").cast("int")).cast("long").alias("n"))
     return sums.unionByName(own).groupBy("w").agg(F.collect_list(F.struct("code", "n")).alias("seen"))
 
 
@@ -260,7 +298,10 @@ def _class_pairs(k: int):
     def work(batches: Iterator[pa.RecordBatch]):
         total = np.zeros((k + 1, k + 1))
         for batch in _small(batches):
-            _, own, _, right, _, self_ = _unpacked(batch, k)
+            rest = batch.filter(batch.column("w").is_null())
+            code, n = (x.to_numpy(zero_copy_only=False) for x in rest.column("seen").flatten().flatten())
+            np.add.at(total.ravel(), code, n)
+            _, own, _, right, _, self_ = _unpacked(batch.filter(batch.column("w").is_valid()), k)
             np.add.at(total, own, right)
             np.add.at(total, (own, own), self_)
         at = np.flatnonzero(total)
@@ -317,23 +358,24 @@ def _move(shared, k: int, batch_no: int, of: int):
     def work(batches: Iterator[pa.RecordBatch]):
         table = shared.value
         for batch in _small(batches):
-            w, own, held, right, left, self_ = _unpacked(batch, k)
-            turn = np.flatnonzero((w.view(U) % U(of) == U(batch_no)) & (own < k))
+            w, own, held, right, left, self_ = _unpacked(batch.filter(batch.column("w").is_valid()), k)
+            turn = np.flatnonzero(w % of == batch_no)
             own[turn] = best_classes(table, own[turn], right[turn], left[turn], self_[turn], np.log(k) + 1e-9)
-            word = own < k
-            yield pa.RecordBatch.from_arrays([pa.array(w[word]), pa.array(own[word].astype(np.int32)), pa.array(held[word])], ["h", "cls", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(own.astype(np.int32)), pa.array(held)], ["h", "cls", "held"])
 
     return work
 
 
-def cluster(neighbours: DataFrame, classes: DataFrame, k: int, all_held: bool, batches: int = BATCHES) -> tuple[DataFrame, np.ndarray]:
+def cluster(train: DataFrame, classes: DataFrame, k: int, all_held: bool, batches: int = BATCHES) -> tuple[DataFrame, np.ndarray]:
     """(classes, table of class pairs) after the words of each batch have moved.
 
-    neighbours: a, b, n; classes: h, cls, held of every word of them but the boundary."""
-    sc = neighbours.sparkSession.sparkContext
+    train: text; classes: h, cls, held of every word of it.  Each batch reads the texts again, which costs
+    less than keeping and joining the counts of all pairs of words."""
+    sc = train.sparkSession.sparkContext
     kept, best = None, None
     for i in range(batches + 1):
-        seen = stored(_by_class(neighbours, classes, k, all_held), "by-class")
+        turn = i if i < batches else -1
+        seen = stored(_by_class(train, classes, k, all_held, turn, batches), "by-class")
         cells = mapped(seen, _class_pairs(k), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
         table = np.zeros((k + 1) * (k + 1))
         table[cells["pair"].to_numpy()] = cells["n"].to_numpy()
@@ -342,10 +384,14 @@ def cluster(neighbours: DataFrame, classes: DataFrame, k: int, all_held: bool, b
             # Together the moves took back what each alone would give; the next batch starts before them.
             classes, table = kept, best
             if i < batches:
-                seen = stored(_by_class(neighbours, classes, k, all_held), "by-class")
+                seen = stored(_by_class(train, classes, k, all_held, turn, batches), "by-class")
         kept, best = classes, table
         if i < batches:
-            classes = stored(mapped(seen, _move(sc.broadcast(table), k, i, batches), "h long, cls int, held boolean"), "classes")
+            moved = mapped(seen, _move(sc.broadcast(table), k, i, batches), "h long, cls int, held boolean")
+            still = ~_in_turn(i, batches)
+            if not all_held:
+                still = still & F.col("held")
+            classes = stored(moved.unionByName(classes.where(still)), "classes")
     return kept, best
 
 
@@ -473,8 +519,7 @@ def class_scores(docs: DataFrame, types: int = TYPES, endings: int = ENDINGS, cl
     of = exchange(pairs.reshape(n_types, n_types), classes)
     k = int(of[-1])
     placed = stored(mapped(counts.select("h", "ending"), _first_classes(sc.broadcast((lex, of))), "h long, cls int, held boolean"), "classes")
-    neighbours = mapped(train, _count_neighbours, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    placed, table = cluster(stored(neighbours, "neighbours"), placed, k, len(h) == words)
+    placed, table = cluster(train, placed, k, len(h) == words)
     placed = stored(counts.join(placed, "h"), "lexicon")
     sums, kinds_of = np.zeros(k + 1), np.zeros(k + 1)
     for r in placed.groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
