@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, mapped, stored
-from .words import U, Words
+from .words import BYTES2, U, Words
 
 TYPES, ENDINGS, CLASSES, ROUNDS, HELD = 1000, 300, 48, 8, 1 << 19
 BATCHES = 2  # of words that move together
@@ -42,13 +42,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
 
 
+def _numbered(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What `Words.distinct` gives, by a hash table: only the different words are sorted."""
+    h = w.hashes()
+    coded = pa.array(h).dictionary_encode()
+    code, found = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    # Codes are in order of appearance, so a word's first place is where the largest code grows.
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=np.int32(-1)))
+    other = w.hashes(BYTES2)
+    if (other != other[first[code]]).any():
+        return w.distinct()
+    order = np.argsort(found)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return found[order], first[order], rank[code]
+
+
 def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, ending, number of each word's) of the different words."""
-    keys, first, which = w.distinct()
+    keys, first, which = _numbered(w)
     a, b = w.starts[first], w.ends[first]
     last = w.buffer[b - 1].astype(np.int64) if len(b) else np.empty(0, np.int64)
     before = np.where(b - a > 1, w.buffer[np.maximum(b - 2, 0)], 0) if len(b) else last
-    wide = np.concatenate([[0], np.cumsum(w.buffer >= 128)])
+    wide = np.zeros(len(w.buffer) + 1, np.int32)
+    np.cumsum(w.buffer >= 128, out=wide[1:])
     return keys, last | before.astype(np.int64) << 8 | (wide[b] > wide[a]).astype(np.int64) << 16, which
 
 
@@ -218,7 +235,7 @@ def _count_sides(shared, k: int, turn: int, of: int):
         held, classes = shared.value
         for t in chunks(batches, "text", 8 << 20):
             w = Words(t["text"], lower=True)
-            keys, _, which = w.distinct()
+            keys, _, which = _numbered(w)
             m = len(keys)
             cls = np.full(m + 1, -1)
             cls[m] = k  # the boundary
