@@ -283,8 +283,9 @@ def _by_class(train: DataFrame, classes: DataFrame, k: int, all_held: bool, turn
     sides = mapped(train, _count_sides(shared, k, turn, of), "w long, v long, code int, n long")
     named = _in_turn(turn, of)
     if not all_held:
-        # Stored, as both parts are read; rows without v must not meet in a join.
-        sides = stored(sides.groupBy("w", "v", "code").agg(F.sum("n").alias("n")), "sides")
+        # Stored, as both parts are read; rows without v must not meet in a join.  Not summed up before:
+        # few rows of a task are equal, as each is a sum over megabytes of text.
+        sides = stored(sides, "sides")
         others = classes.where("not held").select(F.col("h").alias("v"), "cls")
         found = sides.where("v is not null").join(others, "v").select("w", (F.col("code") + F.col("cls")).alias("code"), "n")
         sides = sides.where("v is null").select("w", "code", "n").unionByName(found)
