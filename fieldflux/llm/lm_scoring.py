@@ -33,6 +33,7 @@ from .words import BYTES2, U, Words
 
 TYPES, ENDINGS, CLASSES, ROUNDS, HELD = 1000, 300, 48, 8, 1 << 19
 BATCHES = 2  # of words that move together
+FEW = 16  # neighbours of a class whose gains are taken from a table
 SLICE = 1 << 16  # rows of a batch of counts
 PRIOR = 20.0  # weight of the classes' own shares in a transition
 
@@ -345,17 +346,27 @@ def best_classes(table: np.ndarray, own: np.ndarray, right: np.ndarray, left: np
     for of, mine, other in ((table, right, left), (table.T, left, right)):
         # Only classes that a word has neighbours of change a cell.
         w, c = np.nonzero(mine)
+        steps = _g(of.T[None, :, :k] + np.arange(FEW + 1.0)[:, None, None]) - _g(of.T[:, :k])
         for i in range(0, len(w), 1 << 15):
             word, cls = w[i : i + (1 << 15)], c[i : i + (1 << 15)]
             x = mine[word, cls]
-            cells = of.T[cls].copy()  # [of d to cls] for all d, without the word's own part
-            place = np.arange(len(word))
-            cells[place, own[word]] -= x
-            same = np.flatnonzero(cls == own[word])
-            cells[same] -= other[word[same]]
-            cells[same, own[word[same]]] -= self_[word[same]]
+            mine_too = cls == own[word]
+            more = np.empty((len(word), k))
+            # Small counts beside other classes than the word's own: gains from a table, but for the own class,
+            # whose cell is without the word's own part.
+            few = np.flatnonzero((x <= FEW) & ~mine_too)
+            more[few] = steps[x[few].astype(np.int64), cls[few]]
+            at = own[word[few]]
+            cell = of[at, cls[few]] - x[few]
+            more[few, at] = _g(cell + x[few]) - _g(cell)
+            rest = np.flatnonzero((x > FEW) | mine_too)
+            cells = of.T[cls[rest]].copy()  # [of d to cls] for all d, without the word's own part
+            cells[np.arange(len(rest)), own[word[rest]]] -= x[rest]
+            same = np.flatnonzero(mine_too[rest])
+            cells[same] -= other[word[rest[same]]]
+            cells[same, own[word[rest[same]]]] -= self_[word[rest[same]]]
             cells = cells[:, :k]
-            more = _g(cells + x[:, None]) - _g(cells)
+            more[rest] = _g(cells + x[rest, None]) - _g(cells)
             starts = np.flatnonzero(np.diff(word, prepend=-1))
             gain[word[starts]] += np.add.reduceat(more, starts)
     cell = np.repeat(np.diag(table)[None, :k], n, axis=0)
