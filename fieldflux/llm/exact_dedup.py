@@ -3,19 +3,22 @@
 A text is cut into blocks of a fixed number of bytes.  The different blocks are sorted and each
 gets its place in that order as an integer name; equal blocks, and only they, have equal names.
 Then adjacent names are paired, the different pairs are sorted and named in the same way, and so
-on until one name is left: the identity of the text.  Nothing in it rests on a hash, so two
-different texts can't share one.
-
-Texts whose length and 64-bit hash no other row has can't have a copy; they are told apart by
-that alone and take no part in the naming, so most of the text never leaves its task more than
-once.  A row of a large group of copies costs what any other row costs: names are counted before
-they are shuffled, and the joins that give names back are plain equality joins, which adaptive
-execution splits where one block is very frequent.
+on until one name is left: the identity of the text.  Every row is named, and two different
+texts can't share an identity.
+
+The order of blocks is that of (64-bit hash, bytes).  Where a hash belongs to one block of the
+whole table it decides the place alone, so the bytes of such a block never leave the task that
+read them; blocks with equal hashes are compared by their bytes.  A row of a large group of
+copies costs what any other row costs: blocks are made distinct before they are shuffled, and
+the joins that give names back meet stored tables, so adaptive execution splits them where one
+block is very frequent.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dense_positions, stored
@@ -30,13 +33,12 @@ def _named(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
     return rows.join(names, cond).drop(*[names[k] for k in keys])
 
 
-def block_names(texts: DataFrame, row: str = "row", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(row, n_bytes, level, name): rows with equal texts, and only they, have the same last three.
-
-    `row` must be unique; null text counts as empty."""
-    raw = texts.select(F.col(row).alias("row"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw"))
-    cells = raw.select(
+def _blocks(texts: DataFrame, with_first: list[str], block: int, order: Callable[[Column], Column]) -> DataFrame:
+    """(row, n_bytes, i, key, piece, ..) for each block of (row, raw, ..), stored: key is its hash, piece its
+    bytes, or null if no other block has this key.  The columns `with_first` go with block 0 of a row."""
+    cells = texts.select(
         "row",
+        *with_first,
         F.octet_length("raw").cast("long").alias("n_bytes"),
         F.posexplode(
             F.transform(
@@ -44,9 +46,18 @@ def block_names(texts: DataFrame, row: str = "row", text: str = "text", block: i
                 lambda i: F.substring(F.col("raw"), i * block + 1, F.lit(block)),
             )
         ).alias("i", "piece"),
-    )
+    ).withColumn("key", order(F.col("piece")))
+    again = cells.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.lit(True).alias("again"))
+    cells = cells.join(stored(again, "again"), "key", "left")
+    first = [F.when(F.col("i") == 0, F.col(c)).alias(c) for c in with_first]
+    return stored(cells.select("row", *first, "n_bytes", "i", "key", F.when(F.col("again"), F.col("piece")).alias("piece")), "cells")
+
+
+def _identities(cells: DataFrame, block: int) -> DataFrame:
+    """(row, n_bytes, level, name) for each row of _blocks."""
     done = None
-    now = _named(cells, ["piece"], "blocks").select("row", "n_bytes", "i", "name")
+    now = _named(cells.select("row", "n_bytes", "i", "key", "piece"), ["key", "piece"], "blocks")
+    now = now.select("row", "n_bytes", "i", "name")
     level = 0
     while True:
         # The number of blocks follows from the length: all texts of one length end at one level.
@@ -63,34 +74,39 @@ def block_names(texts: DataFrame, row: str = "row", text: str = "text", block: i
             # The last block may stand alone.
             F.coalesce(F.max(F.when(F.col("i") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"),
         )
-        now = _named(pairs, ["a", "b"], "pairs").select("row", "n_bytes", "i", "name")
+        now = _named(stored(pairs, "pairs"), ["a", "b"], "pair-names").select("row", "n_bytes", "i", "name")
         level += 1
 
 
+def block_names(
+    texts: DataFrame, row: str = "row", text: str = "text", block: int = BLOCK, order: Callable[[Column], Column] = F.xxhash64
+) -> DataFrame:
+    """(row, n_bytes, level, name): rows with equal texts, and only they, have the same last three.
+
+    `row` must be unique; null text counts as empty.  `order` is the hash that comes before the bytes
+    in the order of blocks; a weak one moves more bytes and gives the same classes."""
+    raw = texts.select(F.col(row).alias("row"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw"))
+    return _identities(_blocks(raw, [], block, order), block)
+
+
 def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of rows with equal texts the one with the largest doc_id stays.  Null text counts as empty,
     a null doc_id as smaller than any other.  Where the largest doc_id itself is repeated, each
-    of its rows is kept=true, as nothing tells them apart.  An empty table gives no rows; other
-    columns are not read."""
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    key = [F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("key")]
-    slim = base.select("doc_id", *key, F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-    twice = stored(slim.groupBy("n_bytes", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "twice")
-    alike = base.select("doc_id", "text", *key).join(twice, ["n_bytes", "key"], "left_semi")
-    alike = stored(alike.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "alike")
-    names = block_names(alike, block=block)
-    rows = alike.select("row", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")).join(names, "row")
-    rows = stored(rows, "named")
-    groups = rows.groupBy("n_bytes", "level", "name").agg(
-        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
-    )
-    copies = rows.join(groups, ["n_bytes", "level", "name"])
-    single = slim.join(twice, ["n_bytes", "key"], "left_anti")
-    return copies.select(
+    of its rows is kept=true, as nothing tells them apart.  A very long text is many blocks and
+    nothing else.  An empty table gives no rows; other columns are not read."""
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    base = docs.select("doc_id", raw.alias("raw"), F.monotonically_increasing_id().alias("row"))
+    base = base.withColumn("text_sha256", F.sha2("raw", 256))
+    cells = _blocks(base, ["doc_id", "text_sha256"], block, F.xxhash64)
+    heads = cells.where("i = 0").select("row", "doc_id", "text_sha256")
+    keys = ["n_bytes", "level", "name"]
+    rows = stored(heads.join(_identities(cells, block), "row"), "named")
+    groups = rows.groupBy(*keys).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return rows.join(stored(groups, "groups"), keys).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    ).union(single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long"), F.lit(True), "text_sha256"))
+    )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
