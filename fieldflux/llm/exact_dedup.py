@@ -7,8 +7,8 @@ on until one name is left: the identity of the text.  Every row is named, and tw
 texts can't share an identity.
 
 The order of blocks is that of (64-bit hash, bytes).  Where a hash belongs to one block of the
-whole table it decides the place alone, so the bytes of such a block never leave the task that
-read them; blocks with equal hashes are compared by their bytes.  A row of a large group of
+whole table it decides the place alone; blocks with equal hashes are compared by their bytes.  So
+texts are shuffled once, to learn which hashes are met again, and only bytes met again are kept.  A row of a large group of
 copies costs what any other row costs: blocks are made distinct before they are shuffled, and
 the joins that give names back meet stored tables, so adaptive execution splits them where one
 block is very frequent.
@@ -48,7 +48,8 @@ def _blocks(texts: DataFrame, with_first: list[str], block: int, order: Callable
         ).alias("i", "piece"),
     ).withColumn("key", order(F.col("piece")))
     again = cells.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.lit(True).alias("again"))
-    cells = cells.join(stored(again, "again"), "key", "left")
+    # Merged at every size: the table of hashes grows with the input, so it is no side to broadcast.
+    cells = cells.join(stored(again, "again").hint("merge"), "key", "left")
     first = [F.when(F.col("i") == 0, F.col(c)).alias(c) for c in with_first]
     return stored(cells.select("row", *first, "n_bytes", "i", "key", F.when(F.col("again"), F.col("piece")).alias("piece")), "cells")
 
