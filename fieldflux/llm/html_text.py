@@ -3,9 +3,16 @@
 A page is read from the left.  Markup is stripped and the text falls into lines, one for each
 block element.  Lines in menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments have the length 0 and no text; mostly linked lines outside an article
-have the length 0.  Over the lengths slides a window of a few lines.  Where its sum rises from
-nothing, or an article begins, is a surge point, where it falls back to nothing, or the article
-ends, a dive point, and the text between them is a stretch, its shortest lines included.
+have the length 0, and so have lines that only link to a place on the page itself.  Over the
+lengths slides a window of a few lines.  Where its sum rises above DENSE of the page's usual line
+(or PROSE, if that is less), or an article begins, is a surge point, where it falls back, or the article ends, a dive point, and
+the text between them is a stretch, its shortest lines included.  So short lines before or after
+the text stay only as far as a window reaches, and short lines between two stretches stay where
+nothing of length 0 stands between.  In an article nothing but 0 is too short.
+
+An element that is left out for its name or tag, but holds most of the text of a page without an
+article, is the frame of the page and is not left out: if it is named by class or id, or has long
+lines and is a form or not ended.
 
 The stretches of one article, and those outside of articles, belong together.  The main stretch is
 the longest one, a character in an article counting ARTICLE times.  The other stretches stay if they
@@ -26,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import chunks, mapped
 
-#: Lines in a window, what a character in an article counts, and the share of the main stretch's mean line that another's needs.
+#: Lines in a window, what a character in an article counts, the share of the usual line that a window needs, or of the main
+#: stretch's mean line that another's needs, and that share where one is in an article and the other is not.
 LINES, ARTICLE, DENSE, ALIKE = 3, 4, 0.25, 0.6
 TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[a-zA-Z/!?](?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+>|<[a-zA-Z/!?][^<>]*>|[^<]+|<", re.S)
 NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)")
@@ -44,17 +52,37 @@ ZONES = frozenset("nav footer aside form dialog menu button select head".split()
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr "
-    "notice sidebar menu menubar nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus share sharing social "
+    "notice onetrust sidebar menu menubar nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus share sharing social "
     "related newsletter subscribe popup modal overlay login signup search toolbar".split()
 )
 #: Words beside those in a name of the same kind: comment-list is one, but not has-sidebar or related-work.
 BESIDE = frozenset(
     "area article articles bar block body bottom box btn button buttons card center col column container content form global group head "
-    "header icons inner item items left link links list main outer page panel post posts primary right row secondary section site slot "
+    "header icons inner item items left link links list main outer page panel post posts primary right row sdk secondary section site slot "
     "stories sub text title top unit widget widgets wrap wrapper".split()
 )
 KEEP = frozenset("html body main article".split())
 COMMENTS = frozenset("comment comments".split())
+#: What readers write, where a name has both words: user-reviews, but not book-reviews.
+SAID = frozenset("response responses review reviews reply replies discussion opinions".split())
+READERS = frozenset("reader readers user users visitor visitors customer customers".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HERE = re.compile(r"\bhref\s*=\s*[\"']?\s*#", re.I)
+#: Code points of a window that is text on any page, and of the mean line in a form that frames the page.
+PROSE = 25
+
+
+def _words(name: str) -> set[str]:
+    """The words of a class or id; commentlist and adslot are two words each, single letters none."""
+    out = set()
+    for word in PARTS.findall(name):
+        word = word.lower()
+        cut = next((i for i in range(2, len(word) - 2) if word[:i] in WORDS and word[i:] in BESIDE), 0)
+        if cut and word not in WORDS | BESIDE:
+            out |= {word[:cut], word[cut:]}
+        elif len(word) > 1:
+            out.add(word)
+    return out
 
 
 def _zone(tag: str, name: str, in_article: bool) -> bool:
@@ -72,7 +100,9 @@ def _zone(tag: str, name: str, in_article: bool) -> bool:
         if key in ("class", "id"):
             # Each name as a whole: all its words are of the kind, or stand beside one.
             for value_ in value.split():
-                words = {w.lower() for w in PARTS.findall(value_)}
+                words = _words(value_)
+                if words & SAID and words & READERS and name not in KEEP:
+                    return True
                 if name in KEEP:
                     if name == "article" and words & COMMENTS and words <= WORDS | BESIDE:
                         return True
@@ -81,22 +111,26 @@ def _zone(tag: str, name: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str, shown: frozenset[int] = frozenset()) -> tuple[list[tuple[str, int, int]], dict[int, int]]:
-    """((text, length without links, number of the article or 0) of each line, text lengths of left out
-    elements by place); a left out element is the line ('', 0, ..).  Those in `shown` are not left out."""
+def lines(page: str, shown: frozenset[int] = frozenset()) -> tuple[list[tuple[str, int, int]], dict[int, tuple[int, int, bool]]]:
+    """((text, length without links, number of the article or 0) of each line, (text length, texts, whether
+    ended) of left out elements by place); a left out element is the line ('', 0, ..).  Those in `shown`
+    are not left out."""
     out: list[tuple[str, int, int]] = []
-    left: dict[int, int] = {}
+    left: dict[int, tuple[int, int, bool]] = {}
     parts: list[str] = []
-    linked = at = article = depth = link = number = begin = 0
+    heading = here = False
+    linked = inside = at = article = depth = link = number = begin = 0
     skip = ""
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, inside
         text = " ".join("".join(parts).split())
-        if text:
+        if text and inside >= len(text) and not heading:
+            out.append(("", 0, number if article else 0))
+        elif text:
             out.append((text, 0 if 2 * linked > len(text) and not article else len(text), number if article else 0))
         parts.clear()
-        linked = 0
+        linked = inside = 0
 
     size = len(page)
     while at < size:
@@ -107,11 +141,13 @@ def lines(page: str, shown: frozenset[int] = frozenset()) -> tuple[list[tuple[st
             if token.startswith(("<!", "<?", "</")):
                 continue
             if skip:
-                left[begin] += len(token.strip())
+                chars, texts, ended = left[begin]
+                left[begin] = chars + len(token.strip()), texts + (not token.isspace()), ended
             else:
                 text = entities.unescape(token)
                 parts.append(text)
                 linked += len(text) if link else 0
+                inside += len(text) if link and here else 0
             continue
         close, name = n[1], n[2].lower()
         if not close and name in RAW and not token.endswith("/>"):
@@ -124,19 +160,22 @@ def lines(page: str, shown: frozenset[int] = frozenset()) -> tuple[list[tuple[st
                 depth += -1 if close else 1
                 if not depth:
                     skip = ""
+                    left[begin] = *left[begin][:2], True
                     out.append(("", 0, number if article else 0))
             continue
         if not close and not token.endswith("/>") and place not in shown and _zone(token, name, article > 0):
             flush()
             skip, depth, begin = name, 1, place
-            left[place] = 0
+            left[place] = 0, 0, False
         elif name == "br":
             parts.append(" ")
         elif name == "a":
             link = 0 if close else 1
+            here = not close and HERE.search(token) is not None
         elif name in BLOCKS:
             flush()
             link = 0
+            heading = not close and name in HEADINGS
             if name == "article":
                 number += not close and not article
                 article = max(0, article + (-1 if close else 1))
@@ -144,50 +183,70 @@ def lines(page: str, shown: frozenset[int] = frozenset()) -> tuple[list[tuple[st
     return out, left
 
 
-def stretches(lengths: list[int], window: int = LINES) -> list[tuple[int, int]]:
-    """(surge, dive): from a line where the window's sum rises from 0 to before the line where it is 0 again."""
-    out, start, n = [], None, len(lengths)
+def stretches(lengths: list[int], window: int = LINES, least: float = 0.0) -> list[tuple[int, int]]:
+    """(surge, dive): from a line where the sum of a window that begins there rises above `least` to before
+    the line where that of a window that ends there is `least` or less.  Lines of length 0 at either end go;
+    stretches with none between them are one."""
+    out: list[tuple[int, int]] = []
+    start, n = None, len(lengths)
     for i in range(n + 1):
-        total = sum(lengths[i : i + window])
-        if start is None and total:
-            start = next(j for j in range(i, n) if lengths[j])
-        elif start is not None and not total:
+        if start is None and sum(lengths[i : i + window]) > least:
+            if lengths[i]:
+                start = i
+        elif start is not None and i - start >= window and sum(lengths[i - window + 1 : i + 1]) <= least:
             out.append((start, i))
             start = None
-    return out
+    if start is not None:
+        out.append((start, n))
+    joined: list[tuple[int, int]] = []
+    for a, b in out:
+        while b > a and not lengths[b - 1]:
+            b -= 1
+        if joined and all(lengths[joined[-1][1] : a]):
+            a = joined.pop()[0]
+        joined.append((a, b))
+    return joined
 
 
 def _lines_of(page: str) -> list[tuple[str, int, int]]:
-    """The page's lines.  Without text in an article, an element that is named like a menu or an advert,
-    but holds most of the page's text, is not left out."""
+    """The page's lines.  Without text in an article, an element that frames the page is not left out."""
     shown: frozenset[int] = frozenset()
     while True:
         found, left = lines(page, shown)
         if any(number for text, _, number in found if text):
             return found
-        most = 0.5 * (sum(len(text) for text, _, _ in found) + sum(left.values()))
-        large = {at for at, n in left.items() if n > most and _by_name(page, at)}
+        most = 0.5 * (sum(len(text) for text, _, _ in found) + sum(n for n, _, _ in left.values()))
+        large = {at for at, (n, texts, ended) in left.items() if n > most and _frame(page, at, n >= PROSE * texts, ended)}
         if not large:
             return found
         shown |= large
 
 
-def _by_name(page: str, at: int) -> bool:
-    """Is the element left out for its class or id alone, and not as readers' comments?"""
+def _frame(page: str, at: int, prose: bool, ended: bool) -> bool:
+    """May the element left out at this place hold the page?  Not if it is hidden, has a role of its own or
+    holds readers' comments."""
     tag = TOKEN.match(page, at)[0]
     name = NAME.match(tag)[2].lower()
     named = " ".join(a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(tag, len(name) + 1) if a[1].lower() in ("class", "id"))
+    words = _words(named)
     other = ATTRIBUTE.sub(lambda a: "" if a[1].lower() in ("class", "id") else a[0], tag)
-    return not _zone(other, name, False) and not COMMENTS & {w.lower() for w in PARTS.findall(named)}
+    if _zone("<div" + other[len(name) + 1 :], "div", False) or words & COMMENTS or words & SAID and words & READERS:
+        return False
+    if _zone("", name, False):
+        return prose and (not ended or name == "form")
+    return True
 
 
 def main_text(page: str, window: int = LINES) -> str:
     found = _lines_of(page)
+    total = sum(n for _, n, _ in found)
+    # The usual line is that of a code point taken at random, so many short lines don't make it short.
+    least = min(PROSE, DENSE * sum(n * n for _, n, _ in found) / total) if total else 0.0
     spans = []
     start = 0
     for i in range(1, len(found) + 1):
         if i == len(found) or found[i][2] != found[start][2]:
-            spans += [(start + a, start + b) for a, b in stretches([n for _, n, _ in found[start:i]], window)]
+            spans += [(start + a, start + b) for a, b in stretches([n for _, n, _ in found[start:i]], window, 0.0 if found[start][2] else least)]
             start = i
     if not spans:
         return ""

@@ -55,6 +55,59 @@ def test_text_at_edges_and_under_names_that_sound_like_menus():
     assert html_text.main_text(f"<div class=sidebar>Side</div><div>{LONG}</div><div class='comment-list'>{LONG * 3}</div>").count("\n") == 7
 
 
+SAID = "<p>I agree with every word that was written here by the author.</p>" * 3
+MADE = {
+    "notice": f'<div id="onetrust-banner-sdk"><p>We use cookies and similar technologies to improve the site.</p></div><{{0}}>{LONG}</{{0}}>',
+    "comments inside": f'<{{0}}>{LONG}<div class="reader-responses">{SAID}</div></{{0}}>',
+    "reviews": f'<{{0}}>{LONG}</{{0}}><section id="user-reviews">{SAID}</section>',
+    "comment list": f'<{{0}}>{LONG}</{{0}}><ol class="commentlist"><li>{SAID}</li></ol>',
+    "advert": f'<{{0}}>{LONG}<div class="adslot-x"><p>Buy one and get the other for free</p></div></{{0}}>',
+    "contents": f'<{{0}}><ul><li><a href="#a">Part one</a></li><li><a href=#b>Part two</a></li></ul>{LONG}</{{0}}>',
+    "form around all": f'<body><form id="aspnetForm"><{{0}}>{LONG}</{{0}}></form></body>',
+    "open menu": f"<body><nav><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul><{{0}}>{LONG}</{{0}}></body>",
+    "form beside": f"<form>{'<label>Name</label><input>' * 9}</form><{{0}}>{LONG}</{{0}}>",
+}
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+@pytest.mark.parametrize("kind", MADE)
+def test_made_pages(kind, tag):
+    want = "\n".join(f"Paragraph {i} of the main text says what the page is about." for i in range(8))
+    assert html_text.main_text(MADE[kind].format(tag)) == want
+
+
+def test_what_stays_beside_such():
+    heading = "<h2><a href='#s'>Section</a></h2><p class='address book-reviews'>See <a href='#n'>note</a></p>"
+    for tag in ("article", "div"):
+        assert html_text.main_text(f"<{tag}>{LONG}{heading}{LONG}</{tag}>").split("\n")[8:10] == ["Section", "See note"]
+    assert html_text.main_text(f"<form>{'<label>Name</label><input>' * 9}</form><p>Hello</p>") == "Hello"
+    assert html_text.main_text(f"<div hidden>{LONG}</div><p>Hello</p>") == "Hello"
+    assert html_text.main_text("<nav><a href=1>Home</a><a href=2>News") == ""
+
+
+def test_the_window_decides_how_far_short_lines_reach():
+    menu = "".join(f"<div>M{i}</div>" for i in range(6))
+    inner = "".join(f"<p>{c}</p>" for c in "abcdef")
+    for window in (1, 2, 3, 5):
+        got = html_text.main_text(f"<body>{menu}<div>{LONG}{inner}{LONG}</div>{menu}</body>", window).split("\n")
+        assert got == [
+            *[f"M{i}" for i in range(7 - window, 6)], *html_text.main_text(f"<article>{LONG}{inner}{LONG}</article>").split("\n"),
+            *[f"M{i}" for i in range(window - 1)],
+        ]
+    assert html_text.main_text(f"<article>{menu}{LONG}</article>").startswith("M0\n")
+
+
+def test_stretches_at_random():
+    """Without a threshold no line with a length is lost; a stretch begins and ends with such lines."""
+    rnd = np.random.default_rng(3)
+    for _ in range(300):
+        lengths, window = [int(x) for x in rnd.choice([0, 0, 2, 5, 40], rnd.integers(0, 30))], int(rnd.integers(1, 5))
+        kept = {i for a, b in html_text.stretches(lengths, window, 0.0) for i in range(a, b) if lengths[i]}
+        assert kept == {i for i, n in enumerate(lengths) if n}
+        for a, b in html_text.stretches(lengths, window, 12.0):
+            assert lengths[a] and lengths[b - 1] and sum(lengths[a : a + window]) > 12
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<", "<p", "<!-- open", "<script>x", "<nav>a", "</p></div>", "<a <b <c", "&", "<article></article>"])
 def test_odd_pages(page):
     assert html_text.main_text(page) in ("", "<", "&", "<p", "<a <b <c")
