@@ -1,5 +1,6 @@
 """Feature tables, splits, weights, metrics and models."""
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -343,10 +344,12 @@ def f05(spark, d):
 def a12(spark, d):
     """The three models and their predictions, written and read again."""
     data = materialize(encoded(spark, d), "split")
+    # The result is read when it is collected, so each run has a folder of its own.
+    folder = f"{scratch_dir(spark)}/models-{uuid.uuid4().hex}"
 
     def written(name):
         model, preds = _scored(name, data)
-        path = sinks.write_model(model, preds.drop("model"), f"{scratch_dir(spark)}/models", "ET+crop", name)
+        path = sinks.write_model(model, preds.drop("model"), folder, "ET+crop", name)
         return spark.read.parquet(f"{path}/predictions").withColumn("model", F.lit(name))
 
     return reduce(DataFrame.unionByName, models.at_once(written, [(name,) for name in models.MODELS]))

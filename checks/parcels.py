@@ -209,6 +209,31 @@ def c12_repair(spark, d):
     return pixels_of(edges, ["row_no"], 40, 40).where(off).groupBy("row_no").agg(F.count(F.lit(1)).alias("n_pixels"))
 
 
+@check(
+    "c12_even_odd_repair_all",
+    """SELECT row_no, count(*) AS n_pixels FROM (
+      SELECT row_no FROM members JOIN broken USING (row_no) WHERE kind = 'fine' UNION ALL
+      SELECT c.row_no FROM cells c JOIN cust k USING (row_no) JOIN broken b USING (row_no) WHERE b.kind = 'bow' AND (
+      CASE WHEN (c.x + 0.5 - k.x0) / k.w < 0.5 THEN (c.y + 0.5 - k.y0) / k.h >= (c.x + 0.5 - k.x0) / k.w AND (c.y + 0.5 - k.y0) / k.h < 1 - (c.x + 0.5 - k.x0) / k.w
+      ELSE (c.y + 0.5 - k.y0) / k.h < (c.x + 0.5 - k.x0) / k.w AND (c.y + 0.5 - k.y0) / k.h >= 1 - (c.x + 0.5 - k.x0) / k.w END)
+      AND abs((c.y + 0.5 - k.y0) / k.h - (c.x + 0.5 - k.x0) / k.w) > 1e-9
+      AND abs((c.y + 0.5 - k.y0) / k.h - 1 + (c.x + 0.5 - k.x0) / k.w) > 1e-9) GROUP BY row_no""",
+)
+def c12_repair_all(spark, d):
+    """Even-odd filling of every closed shape: lobes of bow-ties, nothing of flat ones, others as they are."""
+    from fieldflux.operators.rasterize import pixels_of
+
+    shapes = broken(spark, d)
+    # An open ring has no inside; validity reports it.
+    closed = geometry.validity(shapes, ["row_no"]).where("closed").select("row_no")
+    edges = geometry.explode_edges(geometry.explode_parts(shapes.join(closed, "row_no"), ["row_no"]), ["row_no"])
+    i = F.col("row_no")
+    fx = (F.col("x") + 0.5 - (i * 7) % 34) / (1 + i % 6)
+    fy = (F.col("y") + 0.5 - (i * 11) % 34) / (1 + F.floor(i / 6) % 5)
+    on_outline = (F.expr(_BROKEN) == "bow") & ((F.abs(fy - fx) <= 1e-9) | (F.abs(fy - 1 + fx) <= 1e-9))
+    return pixels_of(edges, ["row_no"], 40, 40).where(~on_outline).groupBy("row_no").agg(F.count(F.lit(1)).alias("n_pixels"))
+
+
 @check(
     "e16_defect_accounting",
     """SELECT count(*) AS n_before, count(*) FILTER (parc_sistexp IS NULL) AS n_null_label,
