@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from fieldflux.constants import BANDS
 from fieldflux.functions import fluxes, indices, nulls
 from fieldflux.operators import composite, elevation, geometry, quantiles, rasterize, terrain, zonal
-from fieldflux.scratch import attach
+from fieldflux.scratch import attach, spread
 from fieldflux.sources import tables
 
 from . import balance_sql as B
@@ -133,7 +133,7 @@ def d09_any(spark, d):
 
 def elevation_inputs(spark, d):
     """(tiles, grids, cells): for each supplier a tile and two elevation items on grids of their own."""
-    s = T.read(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("k")).distinct()
+    s = spread(T.read(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("k")).distinct(), "k")
     row, col = (F.col("k") % 40).cast("double"), F.floor(F.col("k") / 40).cast("double")
     tiles = s.select(
         F.col("k").cast("string").alias("tile_id"), F.lit(30).alias("zone"), (400015.0 + 1730.0 * row).alias("west"),
