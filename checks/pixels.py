@@ -310,7 +310,7 @@ def zonal_table(spark, d):
     px = indices.add_spectral(composed(spark, d, _K))
     stats = zonal.zonal_statistics(px, members(spark, d), _K, ["row_no"], _ZV)
     dates = T.observations(spark, d).select(*_K).distinct()
-    expected = T.parcels(spark, d).select("row_no", "tile_id").join(dates, "tile_id")
+    expected = attach(T.parcels(spark, d).select("row_no", "tile_id"), dates, ["tile_id"], "inner")
     full = zonal.with_empty_parcels(stats, expected, _ZV)
     cols = [f"{v}_{s}" for v in _ZV for s in ("mean", "std")]
     return full.withColumns({c: F.round(c, 6) for c in cols})
