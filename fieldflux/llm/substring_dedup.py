@@ -128,8 +128,9 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), values.astype(np.int64))
 
 
-def _decide(window: int, k: int, digest: bool):
-    """Rows (doc_id, doc, text, paths): what the anchors decide, and the windows they leave open."""
+def _decide(window: int, k: int, digest: bool, whole: bool):
+    """Rows (doc_id, doc, text, paths): what the anchors decide, and the windows they leave open.  Without
+    `whole` a text that loses nothing is not repeated."""
 
     def work(batches: Iterator[pa.RecordBatch]):
         forget()
@@ -155,7 +156,7 @@ def _decide(window: int, k: int, digest: bool):
             for i in range(w.n):
                 own = mask[w.first[i] : w.first[i + 1]]
                 n_removed.append(int(own.sum()))
-                kept.append(None if waits[i] else _result(_rest(w, i, own), digest))
+                kept.append(None if waits[i] or not (whole or n_removed[-1]) else _result(_rest(w, i, own), digest))
                 if waits[i]:
                     runs = _runs(own)
                     lengths[i] = len(runs[0])
@@ -207,7 +208,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = KMER, digest
     return _deduped(docs, window, k, digest).select("doc_id", "n_words", "n_removed", kept)
 
 
-def _deduped(docs: DataFrame, window: int, k: int, digest: bool) -> DataFrame:
+def _deduped(docs: DataFrame, window: int, k: int, digest: bool, whole: bool = True) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("h", F.xxhash64("text"))
     anchors = mapped(base, _anchor_rows(window, k), "doc long, h long, place long, anchor long, around long, cut boolean")
@@ -228,7 +229,7 @@ def _deduped(docs: DataFrame, window: int, k: int, digest: bool) -> DataFrame:
         "doc_id long, h long, doc long, n_words long, n_removed long, kept_text string, text string, "
         "starts array<long>, ends array<long>, places array<long>, w1 array<long>, w2 array<long>"
     )
-    first = stored(mapped(found, _decide(window, k, digest), schema).withColumn("row", F.monotonically_increasing_id()), "decided")
+    first = stored(mapped(found, _decide(window, k, digest, whole), schema).withColumn("row", F.monotonically_increasing_id()), "decided")
     waiting = first.where("text is not null")
     single = waiting.select("row", "doc", F.explode(F.arrays_zip("places", "w1", "w2")).alias("x")).select("row", "doc", "x.*")
     again = single.groupBy("w1", "w2").agg(F.min("doc").alias("source"), F.max("doc").alias("top")).where("source < top")
@@ -246,7 +247,7 @@ def remove_spans(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> DataFr
     """docs with the repeated words taken out of `text`, and `n_chars`, if there is one, made to
     fit.  A text that loses nothing stays as it was, white space included; a document that loses
     every word goes; the other columns stay as they were."""
-    cut = _deduped(docs, window, k, False).where("n_removed > 0").select(
+    cut = _deduped(docs, window, k, False, whole=False).where("n_removed > 0").select(
         F.coalesce("doc_id", F.lit(LAST)).alias("__id"), F.col("h").alias("__h"), F.col("kept_text").alias("__kept"), (F.col("n_removed") == F.col("n_words")).alias("__all")
     )
     # Rows equal in doc_id and text lose the same words.

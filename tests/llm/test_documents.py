@@ -423,3 +423,13 @@ def test_rare_words_have_classes_of_their_own(spark, held):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(r.score for r in lm_scoring.class_scores(df, types=40, endings=10, classes=4, held=held).collect() if r.doc_id is None)
     assert got[1] - got[0] > 5
+
+
+def test_texts_that_lose_nothing_are_not_stored_again(messy):
+    every = {(r.doc_id, r.h): r for r in substring_dedup._deduped(messy, 50, 8, False).collect()}
+    few = {(r.doc_id, r.h): r for r in substring_dedup._deduped(messy, 50, 8, False, whole=False).collect()}
+    assert every.keys() == few.keys()
+    for key, r in few.items():
+        assert r.n_removed == every[key].n_removed
+        assert r.kept_text == every[key].kept_text or (r.kept_text is None and r.n_removed == 0)
+    assert any(r.kept_text is None and r.n_words for r in few.values()) and any(r.n_removed for r in few.values())
