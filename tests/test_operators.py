@@ -92,6 +92,19 @@ def test_split_groups_give_the_same_medians(spark):
     assert usual == split
 
 
+def test_composite_keeps_one_list_for_a_pixel(spark):
+    """Medians of any number of values, of none too, without a table of counts for each band."""
+    rng = random.Random(7)
+    rows = [(0, 1, 0, x, rng.choice([None, rng.random()]), rng.choice([float("nan"), -0.5, rng.random()])) for x in range(40) for _ in range(1 + x % 6)]
+    df = spark.createDataFrame([*rows, (0, 1, 1, 0, None, None)], "tile_id int, date int, y int, x int, red double, nir08 double")
+    keys = ["tile_id", "date", "y", "x"]
+    got = composite.median_composite(df, ["tile_id", "date"], ["red", "nir08"])
+    want = df.groupBy(*keys).agg(F.median("red").alias("red"), F.median("nir08").alias("nir08"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert "percentile" not in got._jdf.queryExecution().toString() and "median" not in got._jdf.queryExecution().toString()
+
+
 def test_gradient_needs_the_next_cell(spark):
     cells = [(0, y, x, float(y * 10 + x * x)) for y in range(3) for x in range(5) if (y, x) != (1, 2)]
     df = spark.createDataFrame(cells, "tile_id int, y int, x int, dem double")
