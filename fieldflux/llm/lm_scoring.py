@@ -35,6 +35,7 @@ TYPES, ENDINGS, CLASSES, ROUNDS, HELD = 1000, 300, 48, 8, 1 << 19
 BATCHES = 2  # of words that move together
 FEW = 16  # neighbours of a class whose gains are taken from a table
 SLICE = 1 << 16  # rows of a batch of counts
+CODE_BITS = 20  # of a packed count, for its code
 PRIOR = 20.0  # weight of the classes' own shares in a transition
 
 
@@ -49,8 +50,9 @@ def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, b = w.starts[first], w.ends[first]
     last = w.buffer[b - 1].astype(np.int64) if len(b) else np.empty(0, np.int64)
     before = np.where(b - a > 1, w.buffer[np.maximum(b - 2, 0)], 0) if len(b) else last
-    wide = np.concatenate([[0], np.cumsum(w.buffer >= 128)])
-    return keys, last | before.astype(np.int64) << 8 | (wide[b] > wide[a]).astype(np.int64) << 16, which
+    wide = np.flatnonzero(w.buffer >= 128)
+    wide = np.searchsorted(wide, b) > np.searchsorted(wide, a)
+    return keys, last | before.astype(np.int64) << 8 | wide.astype(np.int64) << 16, which
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]):
@@ -190,33 +192,36 @@ def _smoothed(table: np.ndarray, of: np.ndarray, sums: np.ndarray, kinds: np.nda
     return ClassModel(of, np.log10(steps), spread)
 
 
+def _packed(row: np.ndarray, n_rows: int, code: np.ndarray, n: np.ndarray) -> pa.Array:
+    """For each row its codes and counts, as n * 2^CODE_BITS + code + 1 in eight bytes; rows ascend."""
+    offsets = (8 * np.searchsorted(row, np.arange(n_rows + 1))).astype(np.int32)
+    entries = (n.astype(U) << U(CODE_BITS)) | (code + 1).astype(U)
+    return pa.Array.from_buffers(pa.binary(), n_rows, [None, pa.py_buffer(offsets), pa.py_buffer(entries)])
+
+
+def _entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, count) of the entries of a column of `_packed`; nulls have none."""
+    if not len(column):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(np.int64)
+    row = np.repeat(np.arange(len(column)), np.diff(offsets) // 8)
+    return row, (data & (1 << CODE_BITS) - 1) - 1, data >> CODE_BITS
+
+
 def _count_sides(shared, k: int, turn: int, of: int):
-    """(w, v, code, n): how often words have neighbours of a class, summed over a few megabytes of text.
+    """(w, v, code, n, seen): how often words have neighbours of a class, summed over a few megabytes of text.
 
     Rows are for words whose turn it is, and those whose class isn't held: code c is the class of words
-    after it, k + 1 + c of words before it (only in its turn), 2k + 2 the word itself.  Words of
-    known class that don't move now are summed up: w is null and the code is class * (k + 1) + class.
-    Where the neighbour's class isn't held, v is the neighbour and its class is still to be added to the code."""
-
-    def rows(keys: np.ndarray, x: np.ndarray, y: np.ndarray, right: bool):
-        m = len(keys)
-        wide = m + k + 2
-        pair, n = np.unique(x * wide + y, return_counts=True)
-        ids = np.append(keys.view(np.int64), 0)
-        for i in range(0, len(pair), SLICE):
-            x, y = pair[i : i + SLICE] // wide, pair[i : i + SLICE] % wide
-            cls = np.where(y < m, 0, y - m)
-            code = np.where(x < m, np.where(cls == k + 1, 2 * k + 2, cls), (x - m) * (k + 1) + cls) if right else k + 1 + cls
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[np.minimum(x, m)], mask=x >= m), pa.array(ids[np.minimum(y, m)], mask=y >= m),
-                    pa.array(code.astype(np.int32)), pa.array(n[i : i + SLICE]),
-                ],
-                ["w", "v", "code", "n"],
-            )
+    after it, k + 1 + c of words before it (only in its turn), 2k + 2 the word itself; seen has all of a word's
+    codes with their counts.  Words of known class that don't move now are summed up over the task: w is null and the code
+    is class * (k + 1) + class.  Where the neighbour's class isn't held, v is the neighbour, its class is still to be
+    added to the code, and n is the count."""
+    names = ["w", "v", "code", "n", "seen"]
 
     def work(batches: Iterator[pa.RecordBatch]):
         held, classes = shared.value
+        total = np.zeros((k + 1) * (k + 1), np.int64)
         for t in chunks(batches, "text", 8 << 20):
             w = Words(t["text"], lower=True)
             keys, _, which = w.distinct()
@@ -227,19 +232,96 @@ def _count_sides(shared, k: int, turn: int, of: int):
                 at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
                 hit = held[at] == keys
                 cls[:m][hit] = classes[at[hit]]
-            moves = np.append(keys.view(np.int64) % of == turn, False)
+            ids = keys.view(np.int64)
+            moves = np.append(ids % of == turn, False)
             place = np.arange(m + 1)
             as_word = np.where(moves | (cls < 0), place, m + cls)
-            as_neighbour = np.where(cls < 0, place, m + cls)
+            # A neighbour is a code, or 2k + 3 and more: its place, whose class comes later.
+            after = np.where(cls < 0, 2 * k + 3 + place, cls)
+            before_ = np.where(cls < 0, 2 * k + 3 + m + 1 + place, k + 1 + cls)
+            wide = 2 * k + 3 + 2 * (m + 1)
             before, to, _ = _transitions(w, which, m)
-            own = (before == to) & (as_word[before] < m)
-            yield from rows(keys, as_word[before], np.where(own, m + k + 1, as_neighbour[to]), True)
+            x = as_word[before]
+            own = (before == to) & (x < m)
             left = moves[to] & ~own
-            yield from rows(keys, to[left], as_neighbour[before[left]], False)
+            right = x * wide + np.where(own, 2 * k + 2, after[to])
+            pair, n = np.unique(np.concatenate([right, to[left] * wide + before_[before[left]]]), return_counts=True)
+            x, y = pair // wide, pair % wide
+            known = y < 2 * k + 3
+            sums = known & (x >= m)
+            total += np.bincount((x[sums] - m) * (k + 1) + y[sums], n[sums], len(total)).astype(np.int64)
+            some = known & (x < m)
+            of_word, which_row = np.unique(x[some], return_inverse=True)
+            cut = np.searchsorted(which_row, np.arange(0, len(of_word) + SLICE, SLICE))
+            for i, (a, b) in zip(range(0, len(of_word), SLICE), zip(cut[:-1], cut[1:], strict=True), strict=False):
+                word = ids[of_word[i : i + SLICE]]
+                none = pa.nulls(len(word), pa.int64())
+                seen = _packed(which_row[a:b] - i, len(word), y[some][a:b], n[some][a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(word), none, none.cast(pa.int32()), none, seen], names)
+            x, y, n = x[~known], y[~known] - (2 * k + 3), n[~known]
+            known_word = np.append(ids, 0)
+            for i in range(0, len(x), SLICE):
+                a, b = x[i : i + SLICE], y[i : i + SLICE]
+                code = np.where(a < m, np.where(b > m, k + 1, 0), (a - m) * (k + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(known_word[np.minimum(a, m)], mask=a >= m), pa.array(ids[np.where(b > m, b - m - 1, b)]), pa.array(code),
+                        pa.array(n[i : i + SLICE].astype(np.int64)), pa.nulls(len(a), pa.binary()),
+                    ],
+                    names,
+                )
+        at = np.flatnonzero(total)
+        none = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), none, _packed(np.zeros(len(at), np.int64), 1, at, total[at])], names)
 
     return work
 
 
+def _summed(batches: Iterator[pa.RecordBatch]):
+    """(w, seen): one row for each word of a task's rows (w, code, n, seen), which come in the order of w; no more than a
+    few thousand rows and one word are held at a time."""
+
+    def groups():
+        held, count = [], 0
+        for batch in batches:
+            held, count = [*held, batch], count + batch.num_rows
+            if count >= 1 << 14:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, count = [], 0
+        if count:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    last, codes, counts = None, np.empty(0, np.int64), np.empty(0, np.int64)
+    for t in groups():
+        w, seen = t["w"].combine_chunks(), t["seen"].combine_chunks()
+        row, code, n = _entries(seen)
+        flat = np.flatnonzero(seen.is_null().to_numpy(zero_copy_only=False))
+        code = np.concatenate([codes, code, t["code"].fill_null(0).to_numpy()[flat]])
+        n = np.concatenate([counts, n, t["n"].fill_null(0).to_numpy()[flat]])
+        is_word, value = w.is_valid().to_numpy(zero_copy_only=False), w.fill_null(0).to_numpy()
+        if last is not None:
+            is_word, value = np.append(last[0], is_word), np.append(last[1], value)
+        new = np.append(True, (np.diff(value) != 0) | (is_word[1:] != is_word[:-1]))
+        of = np.cumsum(new) - 1
+        skip = int(last is not None)
+        key = np.concatenate([np.zeros(len(codes), np.int64), of[row + skip], of[flat + skip]]) << CODE_BITS | code + 1
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        n = np.add.reduceat(n, start) if len(start) else n[:0]
+        of, code = key[start] >> CODE_BITS, (key[start] & (1 << CODE_BITS) - 1) - 1
+        done = int(new.sum()) - 1
+        first = np.flatnonzero(new)
+        end = int(np.searchsorted(of, done))
+        if done:
+            at = first[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(value[at], mask=~is_word[at]), _packed(of[:end], done, code[:end], n[:end])], ["w", "seen"])
+        last, codes, counts = (is_word[first[-1]], value[first[-1]]), code[end:], n[end:]
+    if last is not None:
+        seen = _packed(np.zeros(len(codes), np.int64), 1, codes, counts)
+        yield pa.RecordBatch.from_arrays([pa.array([last[1]], pa.int64(), mask=np.array([not last[0]])), seen], ["w", "seen"])
+
+
 def _first_classes(shared):
     def work(batches: Iterator[pa.RecordBatch]):
         lex, of = shared.value
@@ -264,25 +346,24 @@ def _by_class(train: DataFrame, classes: DataFrame, k: int, all_held: bool, turn
     h, cls = held["h"].to_numpy().view(U), held["cls"].to_numpy()
     order = np.argsort(h)
     shared = train.sparkSession.sparkContext.broadcast((h[order], cls[order]))
-    sides = mapped(train, _count_sides(shared, k, turn, of), "w long, v long, code int, n long")
-    named = _in_turn(turn, of)
+    sides = mapped(train, _count_sides(shared, k, turn, of), "w long, v long, code int, n long, seen binary")
+    named, columns = _in_turn(turn, of), ["w", "code", "n", "seen"]
+    none = F.lit(None).cast("binary").alias("seen")
     if not all_held:
         # Stored, as both parts are read; rows without v must not meet in a join.
-        sides = stored(sides.groupBy("w", "v", "code").agg(F.sum("n").alias("n")), "sides")
+        sides = stored(sides, "sides")
         others = classes.where("not held").select(F.col("h").alias("v"), "cls")
-        found = sides.where("v is not null").join(others, "v").select("w", (F.col("code") + F.col("cls")).alias("code"), "n")
-        sides = sides.where("v is null").select("w", "code", "n").unionByName(found)
+        found = sides.where("v is not null").join(others, "v").groupBy("w", (F.col("code") + F.col("cls")).alias("code")).agg(F.sum("n").alias("n"))
+        sides = sides.where("v is null").select(columns).unionByName(found.select("w", "code", "n", none))
         named = named | ~F.col("held")
-    sums = sides.groupBy("w", "code").agg(F.sum("n").alias("n"))
-    own = classes.where(named).select(F.col("h").alias("w"), F.lit(-1).alias("code"), (F.col("cls") * 2 + F.col("held").cast("int")).cast("long").alias("n"))
-    return sums.unionByName(own).groupBy("w").agg(F.collect_list(F.struct("code", "n")).alias("seen"))
+    own = (F.col("cls") * 2 + F.col("held").cast("int")).cast("long").alias("n")
+    rows = sides.select(columns).unionByName(classes.where(named).select(F.col("h").alias("w"), F.lit(-1).alias("code"), own, none))
+    return mapped(rows.repartition("w").sortWithinPartitions("w"), _summed, "w long, seen binary")
 
 
 def _unpacked(batch: pa.RecordBatch, k: int):
     """(w, own class, held, right, left, self): words and their neighbours by class, dense."""
-    seen = batch.column("seen")
-    row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(seen).to_numpy(zero_copy_only=False))
-    code, n = (x.to_numpy(zero_copy_only=False) for x in seen.flatten().flatten())
+    row, code, n = _entries(batch.column("seen"))
     dense = np.zeros((batch.num_rows, 2 * k + 4))
     dense[row, code + 1] = n
     own = dense[:, 0].astype(np.int64)
@@ -300,7 +381,7 @@ def _class_pairs(k: int):
         total = np.zeros((k + 1, k + 1))
         for batch in _small(batches):
             rest = batch.filter(batch.column("w").is_null())
-            code, n = (x.to_numpy(zero_copy_only=False) for x in rest.column("seen").flatten().flatten())
+            _, code, n = _entries(rest.column("seen"))
             np.add.at(total.ravel(), code, n)
             _, own, _, right, _, self_ = _unpacked(batch.filter(batch.column("w").is_valid()), k)
             np.add.at(total, own, right)
