@@ -36,6 +36,7 @@ BATCHES = 2  # of words that move together
 FEW = 16  # neighbours of a class whose gains are taken from a table
 SLICE = 1 << 16  # rows of a batch of counts
 CODE_BITS = 20  # of a packed count, for its code
+BUCKET = 1 << 12  # words of a bucket, about
 PRIOR = 20.0  # weight of the classes' own shares in a transition
 
 
@@ -46,13 +47,11 @@ def held_out(doc_id: Column) -> Column:
 
 def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, ending, number of each word's) of the different words."""
-    keys, first, which = w.distinct()
+    keys, first, which = w.numbered()
     a, b = w.starts[first], w.ends[first]
     last = w.buffer[b - 1].astype(np.int64) if len(b) else np.empty(0, np.int64)
     before = np.where(b - a > 1, w.buffer[np.maximum(b - 2, 0)], 0) if len(b) else last
-    wide = np.flatnonzero(w.buffer >= 128)
-    wide = np.searchsorted(wide, b) > np.searchsorted(wide, a)
-    return keys, last | before.astype(np.int64) << 8 | wide.astype(np.int64) << 16, which
+    return keys, last | before.astype(np.int64) << 8 | w.wide[first].astype(np.int64) << 16, which
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]):
@@ -224,7 +223,7 @@ def _count_sides(shared, k: int, turn: int, of: int):
         total = np.zeros((k + 1) * (k + 1), np.int64)
         for t in chunks(batches, "text", 8 << 20):
             w = Words(t["text"], lower=True)
-            keys, _, which = w.distinct()
+            keys, _, which = w.numbered()
             m = len(keys)
             cls = np.full(m + 1, -1)
             cls[m] = k  # the boundary
@@ -239,19 +238,24 @@ def _count_sides(shared, k: int, turn: int, of: int):
             # A neighbour is a code, or 2k + 3 and more: its place, whose class comes later.
             after = np.where(cls < 0, 2 * k + 3 + place, cls)
             before_ = np.where(cls < 0, 2 * k + 3 + m + 1 + place, k + 1 + cls)
-            wide = 2 * k + 3 + 2 * (m + 1)
+            bits = (2 * k + 3 + 2 * (m + 1)).bit_length()
             before, to, _ = _transitions(w, which, m)
             x = as_word[before]
             own = (before == to) & (x < m)
-            left = moves[to] & ~own
-            right = x * wide + np.where(own, 2 * k + 2, after[to])
-            pair, n = np.unique(np.concatenate([right, to[left] * wide + before_[before[left]]]), return_counts=True)
-            x, y = pair // wide, pair % wide
+            right = x << bits | after[to]
+            right[own] = x[own] << bits | 2 * k + 2
+            left = np.flatnonzero(moves[to] & ~own)
+            pair = np.sort(np.concatenate([right, to[left] << bits | before_[before[left]]]))
+            start = np.flatnonzero(np.diff(pair, prepend=-1))
+            pair, n = pair[start], np.diff(start, append=len(pair))
+            x, y = pair >> bits, pair & (1 << bits) - 1
             known = y < 2 * k + 3
             sums = known & (x >= m)
             total += np.bincount((x[sums] - m) * (k + 1) + y[sums], n[sums], len(total)).astype(np.int64)
             some = known & (x < m)
-            of_word, which_row = np.unique(x[some], return_inverse=True)
+            of_word = x[some]
+            new = np.diff(of_word, prepend=-1) != 0
+            of_word, which_row = of_word[new], np.cumsum(new) - 1
             cut = np.searchsorted(which_row, np.arange(0, len(of_word) + SLICE, SLICE))
             for i, (a, b) in zip(range(0, len(of_word), SLICE), zip(cut[:-1], cut[1:], strict=True), strict=False):
                 word = ids[of_word[i : i + SLICE]]
@@ -277,6 +281,86 @@ def _count_sides(shared, k: int, turn: int, of: int):
     return work
 
 
+def _column(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """The stretches of values between the cuts as binary values."""
+    offsets = (values.itemsize * cut).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _bundled(work, bits: int):
+    """The rows of `_count_sides`, those with words and `seen` as one row for each bucket of words that has any: words, the
+    sizes of their `seen`, and all these after each other.  The bucket is the first bits of the hash, by which such rows come
+    in order.  An exchange then handles a bucket of a few megabytes of text, not each word of them, as a row."""
+
+    def bundle(batches: Iterator[pa.RecordBatch]):
+        names = ["bucket", "w", "v", "code", "n", "seen", "words", "sizes"]
+        for b in work(batches):
+            rows = b.num_rows
+            none = pa.nulls(rows, pa.binary())
+            if not rows or b.column("seen").null_count or b.column("w").null_count:
+                yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), *b.columns, none, none], names)
+                continue
+            w = b.column("w").to_numpy()
+            bucket = w.view(U) >> U(64 - bits)
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            cut = np.append(first, rows)
+            seen = b.column("seen")
+            offsets = np.frombuffer(seen.buffers()[1], np.int32, rows + 1, seen.offset * 4)
+            data = np.frombuffer(seen.buffers()[2], np.uint8)
+            null = pa.nulls(len(first), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(bucket[first].astype(np.int64)), null, null, null.cast(pa.int32()), null, _column(data, offsets[cut]),
+                    _column(w, cut), _column(np.diff(offsets), cut),
+                ],
+                names,
+            )
+
+    return bundle
+
+
+def _opened(batches: Iterator[pa.RecordBatch]):
+    """(w, code, n, seen) in the order of w, from rows (bucket, w, code, n, seen, words, sizes) in the order of buckets."""
+
+    def whole():
+        held, last = [], None
+        for batch in batches:
+            bucket = batch.column("bucket").fill_null(-1).to_numpy()
+            if not len(bucket):
+                continue
+            # The last bucket may go on in the next batch.
+            cut = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if bucket[0] != bucket[-1] else 0
+            if held and (cut or bucket[-1] != last):
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield pa.Table.from_batches([batch.slice(0, cut)])
+            held, last = [*held, batch.slice(cut)], bucket[-1]
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def values(column: pa.ChunkedArray, kind) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+    for t in whole():
+        many = t["words"].is_valid()
+        one, t = t.filter(pa.compute.invert(many)), t.filter(many)
+        w, data = values(t["words"], np.int64), values(t["seen"], np.uint8)
+        seen = _column(data, np.append(0, np.cumsum(values(t["sizes"], np.int32), dtype=np.int64)))
+        n = len(w)
+        columns = [
+            pa.chunked_array([pa.array(w), *one["w"].chunks]), pa.chunked_array([pa.nulls(n, pa.int32()), *one["code"].chunks]),
+            pa.chunked_array([pa.nulls(n, pa.int64()), *one["n"].chunks]), pa.chunked_array([seen, *one["seen"].chunks]),
+        ]
+        rows = pa.Table.from_arrays(columns, ["w", "code", "n", "seen"]).combine_chunks()
+        order = pa.compute.sort_indices(rows, [("w", "ascending")])
+        yield from rows.take(order).to_batches()
+
+
+def _bucket_sums(batches: Iterator[pa.RecordBatch]):
+    return _summed(_opened(batches))
+
+
 def _summed(batches: Iterator[pa.RecordBatch]):
     """(w, seen): one row for each word of a task's rows (w, code, n, seen), which come in the order of w; no more than a
     few thousand rows and one word are held at a time."""
@@ -336,7 +420,7 @@ def _in_turn(turn: int, of: int) -> Column:
     return F.pmod("h", F.lit(of)) == turn
 
 
-def _by_class(train: DataFrame, classes: DataFrame, k: int, all_held: bool, turn: int, of: int) -> DataFrame:
+def _by_class(train: DataFrame, classes: DataFrame, k: int, all_held: bool, turn: int, of: int, bits: int) -> DataFrame:
     """(w, seen): for each word whose turn it is or whose class isn't held its own class (code -1) and its
     neighbours by class, see `_count_sides`; for null the sums of all other words.
 
@@ -346,19 +430,25 @@ def _by_class(train: DataFrame, classes: DataFrame, k: int, all_held: bool, turn
     h, cls = held["h"].to_numpy().view(U), held["cls"].to_numpy()
     order = np.argsort(h)
     shared = train.sparkSession.sparkContext.broadcast((h[order], cls[order]))
-    sides = mapped(train, _count_sides(shared, k, turn, of), "w long, v long, code int, n long, seen binary")
-    named, columns = _in_turn(turn, of), ["w", "code", "n", "seen"]
-    none = F.lit(None).cast("binary").alias("seen")
+    schema = "bucket long, w long, v long, code int, n long, seen binary, words binary, sizes binary"
+    sides = mapped(train, _bundled(_count_sides(shared, k, turn, of), bits), schema)
+    named, columns = _in_turn(turn, of), ["bucket", "w", "code", "n", "seen", "words", "sizes"]
+
+    def flat(df: DataFrame, w: str, code: Column, n: Column) -> DataFrame:
+        none = [F.lit(None).cast("binary").alias(c) for c in columns[4:]]
+        return df.select(F.shiftrightunsigned(w, 64 - bits).alias("bucket"), F.col(w).alias("w"), code.alias("code"), n.alias("n"), *none)
+
     if not all_held:
         # Stored, as both parts are read; rows without v must not meet in a join.
         sides = stored(sides, "sides")
-        others = classes.where("not held").select(F.col("h").alias("v"), "cls")
+        # Each word is there once, so a partition's words make a small table and nothing is sorted.
+        others = classes.where("not held").select(F.col("h").alias("v"), "cls").hint("shuffle_hash")
         found = sides.where("v is not null").join(others, "v").groupBy("w", (F.col("code") + F.col("cls")).alias("code")).agg(F.sum("n").alias("n"))
-        sides = sides.where("v is null").select(columns).unionByName(found.select("w", "code", "n", none))
+        sides = sides.where("v is null").select(columns).unionByName(flat(found, "w", F.col("code"), F.col("n")))
         named = named | ~F.col("held")
-    own = (F.col("cls") * 2 + F.col("held").cast("int")).cast("long").alias("n")
-    rows = sides.select(columns).unionByName(classes.where(named).select(F.col("h").alias("w"), F.lit(-1).alias("code"), own, none))
-    return mapped(rows.repartition("w").sortWithinPartitions("w"), _summed, "w long, seen binary")
+    own = (F.col("cls") * 2 + F.col("held").cast("int")).cast("long")
+    rows = sides.select(columns).unionByName(flat(classes.where(named), "h", F.lit(-1), own))
+    return mapped(rows.repartition("bucket").sortWithinPartitions("bucket"), _bucket_sums, "w long, seen binary")
 
 
 def _unpacked(batch: pa.RecordBatch, k: int):
@@ -401,16 +491,23 @@ def likelihood(table: np.ndarray) -> float:
     return float(_g(table).sum() - _g(table.sum(axis=0)).sum() - _g(table.sum(axis=1)).sum())
 
 
-def best_classes(table: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.ndarray, self_: np.ndarray, least: float = 1e-9) -> np.ndarray:
+def small_gains(table: np.ndarray) -> list[np.ndarray]:
+    """For rows and for columns of the table: what counts up to FEW add to each cell's part of the likelihood."""
+    k = len(table) - 1
+    return [_g(of.T[None, :, :k] + np.arange(FEW + 1.0)[:, None, None]) - _g(of.T[:, :k]) for of in (table, table.T)]
+
+
+def best_classes(
+    table: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.ndarray, self_: np.ndarray, least: float = 1e-9, gains: list[np.ndarray] | None = None
+) -> np.ndarray:
     """The class that each word would move to, the others being where the table has them; the
-    gains are those of `exchange`.  A word moves if it gains more than `least`."""
+    gains are those of `exchange`.  A word moves if it gains more than `least`.  gains: `small_gains` of the table."""
     k, n = len(table) - 1, len(own)
-    all_, d = np.arange(n), np.arange(k)
+    all_ = np.arange(n)
     gain = np.zeros((n, k))
-    for of, mine, other in ((table, right, left), (table.T, left, right)):
+    for of, mine, other, steps in zip((table, table.T), (right, left), (left, right), gains or small_gains(table), strict=True):
         # Only classes that a word has neighbours of change a cell.
         w, c = np.nonzero(mine)
-        steps = _g(of.T[None, :, :k] + np.arange(FEW + 1.0)[:, None, None]) - _g(of.T[:, :k])
         for i in range(0, len(w), 1 << 15):
             word, cls = w[i : i + (1 << 15)], c[i : i + (1 << 15)]
             x = mine[word, cls]
@@ -433,15 +530,19 @@ def best_classes(table: np.ndarray, own: np.ndarray, right: np.ndarray, left: np
             more[rest] = _g(cells + x[rest, None]) - _g(cells)
             starts = np.flatnonzero(np.diff(word, prepend=-1))
             gain[word[starts]] += np.add.reduceat(more, starts)
-    cell = np.repeat(np.diag(table)[None, :k], n, axis=0)
-    cell[all_, own] -= right[all_, own] + left[all_, own] + self_
-    r, l = right[:, :k], left[:, :k]  # noqa: E741
-    gain += _g(cell + r + l + self_[:, None]) - _g(cell + r) - _g(cell + l) + _g(cell)
+    # A class's own cell changes only where the word has it beside itself, before or after.
+    w, c = np.nonzero((right[:, :k] != 0) | (left[:, :k] != 0) | (self_ != 0)[:, None])
+    r, l, at = right[w, c], left[w, c], self_[w]  # noqa: E741
+    cell = np.diag(table)[c]
+    cell = np.where(c == own[w], cell - (r + l + at), cell)
+    gain[w, c] += _g(cell + r + l + at) - _g(cell + r) - _g(cell + l) + _g(cell)
     for sums, mine in ((table.sum(axis=1), right), (table.sum(axis=0), left)):
-        total = (mine.sum(axis=1) + self_)[:, None]
-        rest = np.repeat(sums[None, :k], n, axis=0)
-        rest[all_, own] -= total[:, 0]
-        gain -= _g(rest + total) - _g(rest)
+        # Few different totals: most words are rare.
+        total = mine.sum(axis=1) + self_
+        some, which = np.unique(total, return_inverse=True)
+        less = (_g(sums[:k] + some[:, None]) - _g(sums[:k]))[which]
+        less[all_, own] = _g(sums[own]) - _g(sums[own] - total)
+        gain -= less
     best = gain.argmax(axis=1)
     return np.where(gain[all_, best] > gain[all_, own] + least, best, own)
 
@@ -449,10 +550,11 @@ def best_classes(table: np.ndarray, own: np.ndarray, right: np.ndarray, left: np
 def _move(shared, k: int, batch_no: int, of: int):
     def work(batches: Iterator[pa.RecordBatch]):
         table = shared.value
+        gains = small_gains(table)
         for batch in _small(batches):
             w, own, held, right, left, self_ = _unpacked(batch.filter(batch.column("w").is_valid()), k)
             turn = np.flatnonzero(w % of == batch_no)
-            own[turn] = best_classes(table, own[turn], right[turn], left[turn], self_[turn], np.log(k) + 1e-9)
+            own[turn] = best_classes(table, own[turn], right[turn], left[turn], self_[turn], np.log(k) + 1e-9, gains)
             yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(own.astype(np.int32)), pa.array(held)], ["h", "cls", "held"])
 
     return work
@@ -465,9 +567,10 @@ def cluster(train: DataFrame, classes: DataFrame, k: int, all_held: bool, batche
     less than keeping and joining the counts of all pairs of words."""
     sc = train.sparkSession.sparkContext
     kept, best = None, None
+    bits = max(1, (classes.count() // BUCKET).bit_length())
     for i in range(batches + 1):
         turn = i if i < batches else -1
-        seen = stored(_by_class(train, classes, k, all_held, turn, batches), "by-class")
+        seen = stored(_by_class(train, classes, k, all_held, turn, batches, bits), "by-class")
         cells = mapped(seen, _class_pairs(k), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
         table = np.zeros((k + 1) * (k + 1))
         table[cells["pair"].to_numpy()] = cells["n"].to_numpy()
@@ -476,7 +579,7 @@ def cluster(train: DataFrame, classes: DataFrame, k: int, all_held: bool, batche
             # Together the moves took back what each alone would give; the next batch starts before them.
             classes, table = kept, best
             if i < batches:
-                seen = stored(_by_class(train, classes, k, all_held, turn, batches), "by-class")
+                seen = stored(_by_class(train, classes, k, all_held, turn, batches, bits), "by-class")
         kept, best = classes, table
         if i < batches:
             moved = mapped(seen, _move(sc.broadcast(table), k, i, batches), "h long, cls int, held boolean")
@@ -516,7 +619,7 @@ def _score(shared):
             def side(x):
                 """The place among the row's rare words, or -1 - class."""
                 place = np.searchsorted(pairs, owner_later * max(1, m) + x) - cut[owner_later]
-                return pa.ListArray.from_arrays(steps_cut, np.where(open_[x], place, -1 - cls[x]).astype(np.int32))
+                return _column(np.where(open_[x], place, -1 - cls[x]).astype(np.int32), steps_cut)
 
             steps_cut = np.searchsorted(owner_later, np.arange(w.n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -525,7 +628,7 @@ def _score(shared):
                     pa.array(np.bincount(owner, held & (count[which] > 0), w.n).astype(np.int64)), pa.array(np.bincount(owner, logs * held, w.n).astype(float)),
                     pa.array(np.bincount(text, step, w.n).astype(float)),
                     pa.ListArray.from_arrays(cut, keys[word].view(np.int64)), pa.ListArray.from_arrays(cut, times.astype(np.int32)),
-                    pa.ListArray.from_arrays(cut, kind[word].astype(np.int32)), side(a[later]), side(b[later]),
+                    _column(kind[word].astype(np.int32), cut), side(a[later]), side(b[later]),
                 ],
                 ["doc_id", "held_out", "words", "known", "logs", "step", "rare", "times", "guess", "before", "after"],
             )
@@ -533,18 +636,27 @@ def _score(shared):
     return work
 
 
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each entry, entries) of a column of `_column` of 32-bit numbers."""
+    if not len(column):
+        return np.empty(0, np.int64), np.empty(0, np.int32)
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(np.int32)
+    return np.repeat(np.arange(len(column)), np.diff(offsets) // 4), data
+
+
 def _later_steps(shared):
     """Adds the steps from or to rare words, whose classes are known by now: `found` has place * 2^16 + class."""
 
     def work(batches: Iterator[pa.RecordBatch]):
         model = shared.value
         for t in batches:
-            row, cls = _lists(t.column("guess"))
+            row, cls = _numbers(t.column("guess"))
             first, cls = np.searchsorted(row, np.arange(t.num_rows)), cls.copy()
             at, found = _lists(t.column("found"))
             cls[first[at] + (found >> 16)] = found & 0xFFFF
-            row, a = _lists(t.column("before"))
-            _, b = _lists(t.column("after"))
+            row, a = _numbers(t.column("before"))
+            _, b = _numbers(t.column("after"))
             cls = np.append(cls, 0)
             a, b = (np.where(x < 0, -1 - x, cls[first[row] + np.maximum(x, 0)]) for x in (a, b))
             more = np.bincount(row, model.steps[a, b] - model.spread[b], t.num_rows)
@@ -590,7 +702,7 @@ def class_scores(docs: DataFrame, types: int = TYPES, endings: int = ENDINGS, cl
     h, c = top["h"].to_numpy().view(U), top["c"].to_numpy()
     order = np.lexsort((h, -c))
     h, c = h[order], c[order]
-    first = spark.createDataFrame([(int(x),) for x in h[:types].view(np.int64)], "h long")
+    first = spark.createDataFrame(pa.table({"h": h[:types].view(np.int64)})) if len(h) else counts.select("h").limit(0)
     tails = counts.join(F.broadcast(first), "h", "left_anti").groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"))
     # Endings are two bytes and a flag, so their number is bounded; the most frequent are types.
     named = tails.orderBy(F.desc("c"), "ending").limit(endings).collect()
@@ -628,12 +740,12 @@ def class_scores(docs: DataFrame, types: int = TYPES, endings: int = ENDINGS, cl
     id_type = base.schema["doc_id"].dataType.simpleString()
     scored = mapped(
         base, _score(both), f"doc_id {id_type}, held_out boolean, words long, known long, logs double, step double, rare array<long>, times array<int>, "
-        "guess array<int>, before array<int>, after array<int>"
+        "guess binary, before binary, after binary"
     )
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.posexplode(F.arrays_zip("rare", "times")).alias("place", "x"))
     rare = rare.select("row", "place", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
-    rare = rare.join(placed.select("h", "c", "cls"), "h").groupBy("row").agg(
+    rare = rare.join(placed.select("h", "c", "cls").hint("shuffle_hash"), "h").groupBy("row").agg(
         F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_logs"), F.sum("n").alias("more_known"),
         F.collect_list(F.col("place").cast("long") * 65536 + F.col("cls")).alias("found"),
     )
